@@ -15,6 +15,54 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from featureflow.llm.exact_topk import grid, top_k
+
+    return top_k(grid(read(spark, sf_dir, "embeddings")), k=20, every=20)
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards written and read back; what the rows carry is derived from the texts in the files."""
+    from pyspark.sql import functions as F
+
+    from featureflow.llm.common import scratch
+    from featureflow.llm.sharding import read_shards, write_shards
+
+    at = scratch(spark, "shards")
+    write_shards(read(spark, sf_dir, "documents").select("doc_id", "text"), at, n_shards=24, seed=7)
+    text = F.coalesce("text", F.lit(""))
+    return read_shards(spark, at).select(
+        "doc_id",
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from featureflow.llm.bpe import round_trip
+
+    return round_trip(read(spark, sf_dir, "documents"), rank_path())
+
+
+def op10_chat_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Renderings and examples are written, and the digests taken from what is read back."""
+    from featureflow.llm.chat import digests, expand, format_conversations, with_control_case
+    from featureflow.llm.common import materialise
+
+    turns = with_control_case(read(spark, sf_dir, "conversations"))
+    return digests(materialise(format_conversations(turns), "chats"), materialise(expand(turns), "examples"))
+
+
+def rank_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -37,5 +85,31 @@ SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JO
 """
 
 
+OP3_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(c.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""
+
+OP10_SQL = r"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+    SELECT *, length(text) + length(regexp_replace(text, '[^\\<>\[\]]', '', 'g')) + length(role) + length(regexp_replace(role, '[^\\<>\[\]]', '', 'g')) + 6 AS chars FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    (3 + sum(chars))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_dedup": OP2_SQL}
+    return {"op2_minhash_dedup": OP2_SQL, "op3_exact_topk": OP3_SQL, "op10_chat_prefix_target": OP10_SQL}
