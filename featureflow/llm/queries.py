@@ -42,6 +42,15 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from featureflow.llm.common import scratch
+    from featureflow.llm.warc import archive_pages, read_warc
+
+    at = scratch(spark, "warc")
+    archive_pages(read(spark, sf_dir, "pages"), at)
+    return read_warc(spark, at)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from featureflow.llm.bpe import round_trip
 
@@ -96,6 +105,14 @@ WITH v AS (
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
 
+OP7_SQL = """
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), o AS (SELECT payload_digest, max(page_id) AS original FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < original THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id < original THEN original END AS refers_to FROM p LEFT JOIN o USING (payload_digest)
+"""
+
 OP10_SQL = r"""
 WITH t AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -112,4 +129,4 @@ FROM e GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_dedup": OP2_SQL, "op3_exact_topk": OP3_SQL, "op10_chat_prefix_target": OP10_SQL}
+    return {"op2_minhash_dedup": OP2_SQL, "op3_exact_topk": OP3_SQL, "op7_arc_to_warc": OP7_SQL, "op10_chat_prefix_target": OP10_SQL}
