@@ -42,6 +42,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from featureflow.llm.quality import assess
+
+    return assess(read(spark, sf_dir, "documents"))
+
+
 def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from featureflow.llm.common import scratch
     from featureflow.llm.warc import archive_pages, read_warc
@@ -51,6 +57,17 @@ def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, at)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from featureflow.llm.langid import predict, remainder, train
+
+    documents = read(spark, sf_dir, "documents")
+    model = train(documents, remainder(F.col("doc_id")) != 2)
+    held_out = F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False))
+    return predict(documents, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from featureflow.llm.bpe import round_trip
 
