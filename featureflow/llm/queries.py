@@ -42,6 +42,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from featureflow.llm.secrets import scan
+
+    return scan(read(spark, sf_dir, "documents"))
+
+
 def op6_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from featureflow.llm.quality import assess
 
