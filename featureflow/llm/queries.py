@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from featureflow.llm.common import read
 
 
+def op1_target_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from featureflow.llm.mixing import mix
+
+    return mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from featureflow.llm.near_dedup import near_duplicates
 
