@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from featureflow.llm.common import chunks, utf8
 
@@ -164,10 +165,15 @@ def _ordered(rows: list) -> list[tuple[str, np.ndarray]]:
     return sorted(out, key=lambda r: (hashlib.sha256(r[1].tobytes()).digest(), r[0]))
 
 
-def predict(documents: DataFrame, model: Model) -> DataFrame:
-    """documents (doc_id, text) -> doc_id, lang_pred, score, one row a document."""
-    docs = documents.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("known"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def predict(documents: DataFrame, model: Model, keep: bool = False) -> DataFrame:
+    """documents (doc_id, text) -> doc_id, lang_pred, score, one row a document; keep: all columns of documents instead of doc_id."""
+    kept = documents.columns if keep else ["doc_id"]
+    if clash := {"lang_pred", "score"} & set(kept):
+        raise ValueError(f"columns {sorted(clash)} are already there")
+    known = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    docs = documents.select(F.struct(*kept).alias("row"), F.col("text"), known.alias("known"))
+    names = [*kept, "lang_pred", "score"]
+    schema = T.StructType([*(documents.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = len(model.grams) + 1
@@ -195,6 +201,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
                     best = p.argmax(1)
                     lang[good] = np.array(model.languages, object)[best]
                     score[good] = p[np.arange(len(p)), best]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(lang.tolist(), pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+                rows = batch.column(0).slice(a, b - a).flatten()
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(lang.tolist(), pa.string()), pa.array(score, pa.float64())], names)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.mapInArrow(run, schema)

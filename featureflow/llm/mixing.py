@@ -120,6 +120,7 @@ def telling_words(documents: DataFrame, labels: DataFrame, p: Params = Params())
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # p.sample rows at most
     each = rows.select("doc_id", "d", F.explode(F.array_distinct(_words(F.col("text")))).alias("w")).filter("w <> ''")
     counts = each.groupBy("w").agg(*[F.sum((F.col("d") == k).cast("long")).alias(f"n{k}") for k in range(len(DOMAINS))])
+    counts = materialise(counts.filter(sum(F.col(f"n{k}") for k in range(len(DOMAINS))) >= 5), "words")
     size = {r.d: r["count"] for r in chosen.groupBy("d").count().collect()}
     out: list[str] = []
     for k in range(len(DOMAINS)):

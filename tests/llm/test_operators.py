@@ -1,0 +1,420 @@
+"""The operators on small hand-made tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
+
+import collections
+import hashlib
+import itertools
+import random
+import re
+import string
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, texts, start=0, lang="en"):
+    rows = [(start + i, t, lang, "s", len(t) if t is not None else None) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOC)
+
+
+def prose(rng, n, words=400):
+    return " ".join(f"w{rng.randrange(words)}" for _ in range(n))
+
+
+# --- near duplicates -------------------------------------------------------------------------
+
+
+def shingles(text):
+    words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    if not words:
+        return set()
+    return {tuple(words)} if len(words) < 3 else {tuple(words[i : i + 3]) for i in range(len(words) - 2)}
+
+
+def brute_components(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if sets[a] and sets[b] and 100 * both >= 85 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def test_near_duplicates_match_brute_force(spark):
+    from featureflow.llm.near_dedup import near_duplicates
+
+    rng = random.Random(1)
+    base = [prose(rng, 120) for _ in range(12)]
+    texts = [None, "", " \n", "one", "ONE", "one two", "one two", base[0].upper()]
+    for b in base:
+        words = b.split()
+        for share in (0.0, 0.0, 0.01, 0.02, 0.04, 0.04, 0.08, 0.2):
+            texts.append(" ".join(w if rng.random() > share else f"x{rng.randrange(9999)}" for w in words))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(spark, texts)).collect()}
+    assert got == brute_components(list(enumerate(texts)))
+
+
+def test_near_duplicates_of_odd_tables(spark):
+    from featureflow.llm.near_dedup import deduplicate, near_duplicates
+
+    empty = spark.createDataFrame([], DOC)
+    assert near_duplicates(empty).count() == 0
+    odd = spark.createDataFrame([(5, "a b c d", "k"), (5, "a b c d", "k"), (None, "a b c d", "k"), (3, "a b c d", "k"), (5, "other words are here", "k")], "doc_id long, text string, key string")
+    got = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in near_duplicates(odd).collect())
+    assert got == [(-1, -1, True), (3, 3, True), (5, 3, False), (5, 3, False), (5, 5, True)]
+    assert deduplicate(odd).columns == odd.columns
+
+
+def test_hot_group_whose_centre_is_an_outlier(spark):
+    """Copies that are close to each other, but not to the member that a star starts from, still meet."""
+    from featureflow.llm.near_dedup import near_duplicates
+
+    rng = random.Random(3)
+    words = prose(rng, 200, 9999).split()
+    texts = []
+    for _ in range(60):
+        at = set(rng.sample(range(200), 3))
+        texts.append(" ".join(w if i not in at else f"y{rng.randrange(10**6)}" for i, w in enumerate(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(spark, texts)).collect()}
+    assert got == brute_components(list(enumerate(texts)))
+
+
+def test_components_of_a_chain(spark):
+    from featureflow.llm.graph import components
+
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (None, 3), (60, 50), (60, 50)], "a long, b long")
+    got = {r.node: r.root for r in components(links).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 50: 50, 60: 50}
+
+
+# --- exact top-k -----------------------------------------------------------------------------
+
+
+def test_top_k_matches_brute_force(spark):
+    from featureflow.llm.exact_topk import grid, top_k
+
+    rng = np.random.default_rng(0)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.2, 6)]) for i in range(150)]
+    rows += [(200, rows[20][1]), (201, rows[20][1]), (202, None), (203, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (204, [float("nan")] * 6), (205, [float("inf")] * 6), (None, rows[1][1]), (3, rows[3][1]), (220, [0.5, 0.5]), (240, [])]
+    got = collections.defaultdict(list)
+    for r in top_k(grid(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), 7, 20).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    whole = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    for q, v in whole:
+        if q % 20 == 0:
+            scored = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i != q and len(w) == len(v)))
+            assert got[q] == [(i, -s) for s, i in scored[:7]], q
+
+
+def test_top_k_of_an_empty_table(spark):
+    from featureflow.llm.exact_topk import grid, top_k
+
+    assert top_k(grid(spark.createDataFrame([], "vec_id long, embedding array<float>")), 5, 20).count() == 0
+
+
+# --- sharding --------------------------------------------------------------------------------
+
+
+def test_shards_are_even_gapless_and_repeatable(spark):
+    from featureflow.llm.sharding import shuffled
+
+    df = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 7).alias("text"), F.lit(1).alias("rank"))
+    df = df.unionByName(spark.createDataFrame([(None, None, 2), (5, "twice", 3), (5, "twice", 3)], "doc_id long, text string, rank int"))
+    rows = shuffled(df, 24, 7, bucket_bytes=8000).collect()
+    assert len(rows) == 1003
+    shards = collections.defaultdict(list)
+    for r in rows:
+        shards[r.shard].append(r.slot)
+    assert sorted(shards) == list(range(24))
+    assert all(sorted(v) == list(range(len(v))) for v in shards.values())
+    assert max(map(len, shards.values())) - min(map(len, shards.values())) <= 1
+    again = shuffled(df.repartition(5), 24, 7, bucket_bytes=8000).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+    assert shuffled(df.limit(0), 24, 7).count() == 0
+    with pytest.raises(ValueError):
+        shuffled(df.withColumn("slot", F.lit(1)), 24, 7)
+
+
+def test_fisher_yates_is_uniform():
+    from featureflow.llm.sharding import fisher_yates
+
+    seen = collections.Counter(tuple(fisher_yates(3, 1, b)) for b in range(6000))
+    assert len(seen) == 6 and min(seen.values()) > 850
+
+
+# --- secrets ---------------------------------------------------------------------------------
+
+ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def brute_spans(text):
+    text = text or ""
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+def test_secret_scan_matches_brute_force(spark):
+    from featureflow.llm.secrets import redact, scan
+
+    rng = random.Random(5)
+    texts = [None, "", "password=abc password=abcdef", "token=token = abcdefgh", "secret==abcdef", "API_KEY: 'xyzxyz1'", "AKIA" + "A" * 15, "AKIA" + "B" * 16, "😀token=\"ab12ab12\"😀 " + "deadbeef" * 3, "passWord  =  'é'", "a" * 24, "token=" + "deadbeef" * 4]
+    parts = ["token", "=", ":", " ", '"', "AKIA", "ABCD", "0123456789abcdef", "ff", "secret", "x_y", "\n", "é"]
+    texts += ["".join(rng.choices(parts, k=30)) for _ in range(200)]
+    random_text = ["plain words here " + "".join(rng.choices(string.ascii_letters + string.digits, k=48)) + " and more" for _ in range(20)]
+    words = ["internationalisation-of-counterrevolutionaries and so on Antidisestablishmentarianism2024"] * 5
+    rows = texts + random_text + words
+    got = {r.doc_id: r for r in scan(docs(spark, rows)).collect()}
+    for i, t in enumerate(rows):
+        want = brute_spans(t)
+        assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest(), t
+        assert set(filter(None, want.split(","))) <= set(got[i].spans.split(","))
+    found = [i for i, r in got.items() if "random" in r.spans]
+    assert len(set(found) & set(range(len(texts), len(texts) + 20))) >= 18
+    assert not set(found) & set(range(len(texts) + 20, len(rows)))
+    clean = {r.doc_id: r.text for r in redact(docs(spark, rows)).collect()}
+    assert clean[0] is None and clean[2] == "password=abc [SECRET]" and clean[len(rows) - 1] == words[0]
+    assert scan(docs(spark, [])).count() == 0
+
+
+# --- quality ---------------------------------------------------------------------------------
+
+
+def test_quality_measures_match_brute_force(spark):
+    from featureflow.llm.quality import assess
+
+    rng = random.Random(2)
+    texts = [None, "", " ", "a", "\n\n", "a b\na b\n\n a b\na b", "x y z x y z", "a\x0bb\na\x0bb", "é " * 60, "\n", "a" * 5000]
+    texts += [" ".join(rng.choices(["a", "b", "cc", "#x", "é|", "\n", "d\n"], k=rng.randrange(60))) for _ in range(80)]
+    got = {r.doc_id: r for r in assess(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        words, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        runs = collections.Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
+        again = {k + j for k in range(len(words) - 2) if runs[tuple(words[k : k + 3])] > 1 for j in range(3)}
+        want = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(again))
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, repr(t)
+        assert r.base_failed == (len(words) < 50 or 100 * len(again) > 50 * len(words))
+        assert not (r.base_failed and r.kept)
+    assert assess(docs(spark, [])).count() == 0
+
+
+def test_votes_of_several_rules_condemn(spark):
+    from featureflow.llm.quality import estimate
+
+    rng = np.random.default_rng(1)
+    good = (rng.random((900, 4)) > 0.03).astype(int)
+    bad = np.concatenate([np.where([[True, True, False, False]], rng.random((100, 4)) < 0.1, rng.random((100, 4)) > 0.03).astype(int)])
+    rows, counts = np.unique(np.concatenate([good, bad]), axis=0, return_counts=True)
+    _, p = estimate(rows, counts.astype(float))
+    by = {tuple(r): x for r, x in zip(rows.tolist(), p, strict=True)}
+    assert by[1, 1, 1, 1] > 0.95 and by[0, 0, 1, 1] < 0.1
+
+
+# --- WARC ------------------------------------------------------------------------------------
+
+
+def test_pages_round_trip(spark, tmp_path):
+    from featureflow.llm.warc import archive_pages, read_warc
+
+    big = "x" * 1200
+    rows = [(1, "http://a/ b", big), (7, None, big), (4, "u", big), (5, "u", "small"), (6, "u", "small"), (8, "u", None), (9, "u", ""), (None, "u", big), (10, "u", "é\r\n\r\nWARC/1.1 " * 100), (-3, "u", "é\r\n\r\nWARC/1.1 " * 100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload_digest", F.lit("clash"))
+    archive_pages(pages, str(tmp_path / "w"))
+    got = sorted((r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in read_warc(spark, str(tmp_path / "w")).collect())
+    sha = lambda t: hashlib.sha1((t or "").encode()).hexdigest()
+    refers = {1: 7, 4: 7, None: 7, -3: 10}
+    want = sorted((i or 0, len((h or "").encode()), sha(h), "revisit" if i in refers else "response", refers.get(i)) for i, _, h in rows)
+    assert got == want
+    archive_pages(pages.limit(0), str(tmp_path / "none"))
+    assert read_warc(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_arc_versions_and_broken_archives():
+    from featureflow.llm.warc import convert_record, page_of_urn, read_arc, warc_date, write_arc
+
+    for version in (1, 2):
+        data = write_arc("x.arc", version, [(3, "http://h/a b", b"<p>\n\n"), (None, None, b"")])
+        records = list(read_arc(data))
+        assert [r[0]["url"] for r in records] == ["filedesc://x.arc", "http://h/a%20b", "-"]
+        assert convert_record(*records[1])[0] == 3 and convert_record(*records[1])[7] == b"<p>\n\n"
+        with pytest.raises(ValueError):
+            list(read_arc(data[:-5]))
+    old = b"filedesc://y 0.0.0.0 1996 text/plain 20\n1 0 me\nfields-here\n\nhttp://h/with space 1.2.3.4 19960102 text/html 2\nok\n"
+    line, content = list(read_arc(old))[1]
+    assert line["url"] == "http://h/with space" and content == b"ok" and warc_date(line["date"]) == "1996-01-02T00:00:00Z"
+    with pytest.raises(ValueError):
+        list(read_arc(b"filedesc://y 0 0 t 4\n9 0 \n"))
+    assert page_of_urn("<urn:uuid:ffffffff-ffff-8000-8000-ffff00000000>") == -1
+
+
+# --- language --------------------------------------------------------------------------------
+
+
+def test_language_is_learned_and_und_has_no_letters(spark):
+    from featureflow.llm.langid import predict, train
+
+    rng = random.Random(8)
+    make = lambda parts: " ".join("".join(rng.choices(parts, k=3)) for _ in range(60))
+    rows = [(i, make(["the", "ing", "sh", "an"]), "en", "s", 0) for i in range(60)] + [(100 + i, make(["ción", "que", "os", "ll"]), "es", "s", 0) for i in range(60)]
+    train_rows = spark.createDataFrame(rows + [(None, "x", "en", "s", 0), (999, None, "es", "s", 0), (998, "y", None, "s", 0)], DOC)
+    model = train(train_rows, F.col("doc_id") % 3 != 0)
+    got = {r.doc_id: r for r in predict(train_rows, model).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang, _, _ in rows)
+    odd = {r.doc_id: (r.lang_pred, r.score) for r in predict(docs(spark, [None, "", "123 !?", "é", "que " * 20000]), model).collect()}
+    assert odd[0] == odd[1] == odd[2] == ("und", 0.0) and odd[3][0] != "und" and odd[4][0] == "es"
+    nothing = train(train_rows, F.lit(False))
+    assert {r.lang_pred for r in predict(train_rows, nothing).collect()} == {"und"}
+    with pytest.raises(ValueError):
+        predict(train_rows.withColumn("score", F.lit(1)), model, keep=True)
+
+
+def test_held_out_accuracy(spark):
+    from featureflow.llm.queries import op8_language_id
+
+    sf = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    held = [r for r in op8_language_id(spark, sf).collect() if r.held_out]
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in held)
+    assert sum(truth[r.doc_id] == r.lang_pred for r in held) >= 0.98 * len(held)
+
+
+# --- BPE -------------------------------------------------------------------------------------
+
+
+def test_bpe_matches_the_public_library(spark):
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    from featureflow.llm import bpe
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(1)
+    parts = ["a", "b", "s", "'", "'s", "ll", "ve", "re", " ", "  ", "\n", "\t", " ", "　", "1", "²", "é", "ß", "中", "😀", "!", "'S", "\x1c", "of", "tion"]
+    texts = [None, "", " ", "'", "\n's", "''s", "a \n b", "word " * 5000] + ["".join(rng.choices(parts, k=rng.randrange(1, 25))) for _ in range(3000)]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    df = docs(spark, texts)
+    rows = bpe.decode(bpe.encode(df, path), path).collect()
+    digests = {r.doc_id: r for r in bpe.round_trip(df, path).collect()}
+    for r in rows:
+        want = enc.encode_ordinary(r.text or "")
+        assert r.ids == want, repr(r.text)
+        assert r.decoded == (r.text or "")
+        d = digests[r.doc_id]
+        assert d.n_tokens == len(want) and d.ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
+        assert d.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
+def test_utf8_machine_agrees_with_the_decoder():
+    from featureflow.llm.bpe import Utf8Machine
+
+    rng = random.Random(4)
+    for _ in range(3000):
+        data = bytes(rng.choices([0x41, 0x80, 0x9F, 0xA0, 0xBF, 0xC2, 0xE0, 0xED, 0xE2, 0xF0, 0xF4, 0xF5, 0x90, 0x8F], k=rng.randrange(8)))
+        machine, out, at = Utf8Machine(), "", 0
+        while at < len(data):
+            step = rng.randrange(1, 4)
+            out += machine.feed(data[at : at + step])
+            at += step
+        assert out + machine.finish() == data.decode("utf-8", "replace"), data
+
+
+# --- chat ------------------------------------------------------------------------------------
+
+
+def test_chat_reads_back(spark):
+    from featureflow.llm.chat import digests, expand, format_conversations, parse, texts, with_control_case
+
+    rows = [(1, 0, "user", "</s>[user] \\0\\\\1 <s>"), (1, 1, "assistant", "[a]\\"), (1, 1, "assistant", "[a]\\"), (1, 2, None, None), (2, 0, "user", ""), (None, 5, "assistant", "é😀"), (3, None, "assistant", "first"), (3, 0, "assistant", "x" * 20000)]
+    df = with_control_case(spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, formatted string"))
+    formatted, examples = format_conversations(df), expand(df)
+    rows += [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+    want = collections.defaultdict(list)
+    for c, turn, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        want[c].append((role or "", text or ""))
+    assert {r.conv_id: [tuple(t) for t in r.turns] for r in parse(formatted).collect()} == want
+    for r in digests(formatted, examples).collect():
+        turns = want[r.conv_id]
+        loss = "".join(t for role, t in turns if role == "assistant")
+        assert (r.n_turns, r.loss_chars) == (len(turns), len(loss))
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+        assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    whole = {r.conv_id: r.formatted for r in formatted.collect()}
+    n = 0
+    for e in texts(formatted, examples).collect():
+        assert whole[e.conv_id].startswith(e.text) and len(e.text) == e.prefix_chars
+        assert e.text[e.loss_start : e.loss_start + e.loss_chars] == e.reply and e.text.endswith(e.reply + "</s>")
+        n += 1
+    assert n == sum(role == "assistant" for turns in want.values() for role, _ in turns)
+    assert digests(format_conversations(df.limit(0)), expand(df.limit(0))).count() == 0
+
+
+# --- mixing ----------------------------------------------------------------------------------
+
+
+def test_mixing_meets_its_targets(spark):
+    from featureflow.llm.mixing import Params, mix, mixed
+
+    rng = random.Random(6)
+    texts, labels = [], []
+    for i in range(400):
+        kind = 0 if i % 4 else 1 if i % 8 else 2
+        words = [f"w{rng.randrange(300)}".replace("1", "a").replace("2", "b") for _ in range(80)]
+        if kind == 1:
+            words = [w.upper() + "!!" for w in words]
+        if kind == 2:
+            words[::9] = ["nasty"] * len(words[::9])
+        texts.append(" ".join(words))
+        if i % 3 == 0:
+            labels.append((i, int(kind != 1), int(kind == 2)))
+    labels += [(None, 1, 0), (10**6, 0, 0), (3, None, None)]
+    df, lab = docs(spark, [*texts, None, ""]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    p = Params(targets=(1.1, 0.06, 0.02))
+    rows = mix(df, lab, p).collect()
+    totals = [sum(r.n_tokens * r[c] for r in rows) for c in ("p_clean", "p_low", "p_toxic")]
+    after = [sum(r.rate * r.n_tokens * r[c] for r in rows) for c in ("p_clean", "p_low", "p_toxic")]
+    assert all(r.rate >= 0 for r in rows)
+    assert after == pytest.approx([totals[0] * t for t in p.targets], rel=0.02, abs=0.001 * totals[0])
+    copies = {r.doc_id: r.copies for r in rows}
+    got = collections.Counter(r.doc_id for r in mixed(df, lab, p).collect())
+    assert got == {i: c for i, c in copies.items() if c}
+    assert all(copies[i] >= 1 for i in range(400) if i % 4)
+    assert mix(df.limit(0), lab).count() == 0 and mix(df, lab.limit(0)).count() == 402
+    with pytest.raises(ValueError):
+        mixed(df.withColumn("rate", F.lit(1)), lab)
+
+
+# --- pipeline --------------------------------------------------------------------------------
+
+
+def test_pipeline_on_a_small_table(spark):
+    import corpus_pipeline
+    from featureflow.llm.common import read
+
+    sf = "/root/testdata/sf0.001"
+    start = read(spark, sf, "documents")
+    docs_, before = start, start.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs_ = stage(spark, docs_, sf)
+        assert docs_.columns == start.columns, name
+    assert 0 < docs_.count() <= 1.5 * before
+    rows = corpus_pipeline.run(spark, sf)
+    assert rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and rows.count() > 0
