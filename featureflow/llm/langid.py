@@ -113,7 +113,9 @@ def _scaled(present: np.ndarray, level: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[tuple[str, np.ndarray]], p: Params) -> Model:
-    """rows (language, gram numbers), in a fixed order."""
+    """rows (language, gram numbers), in a fixed order; without rows, a model of no language."""
+    if not rows:
+        return Model([], np.zeros(0, np.int32), np.zeros(0, int), np.zeros((0, 0), np.float32), p.sharp)
     languages = sorted({lang for lang, _ in rows})
     left = dict.fromkeys(languages, p.landmarks)
     marks = []

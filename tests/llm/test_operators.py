@@ -405,16 +405,64 @@ def test_mixing_meets_its_targets(spark):
 # --- pipeline --------------------------------------------------------------------------------
 
 
-def test_pipeline_on_a_small_table(spark):
+def brute_kept(rows, size, percent):
+    """doc_ids that stay: the smallest of each group linked by shingles of `size` words."""
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets[i] = ({tuple(w)} if len(w) < size else {tuple(w[k : k + size]) for k in range(len(w) - size + 1)}) if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x and y and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and 100 * len(x & y) >= percent * len(x | y):
+            u, v = sorted((find(a), find(b)))
+            root[v] = u
+    return {i for i in sets if find(i) == i}
+
+
+def test_pipeline_against_brute_force(spark):
+    """Each stage on what the one before it kept, and the whole run."""
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
     import corpus_pipeline
-    from featureflow.llm.common import read
+    from featureflow.llm.common import materialise, read
 
     sf = "/root/testdata/sf0.001"
-    start = read(spark, sf, "documents")
-    docs_, before = start, start.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs_ = stage(spark, docs_, sf)
-        assert docs_.columns == start.columns, name
-    assert 0 < docs_.count() <= 1.5 * before
-    rows = corpus_pipeline.run(spark, sf)
-    assert rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and rows.count() > 0
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == [name for name, _ in corpus_pipeline.STAGES] and len(stages) == 5
+    kept = start = read(spark, sf, "documents")
+    by_stage = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = materialise(stage(spark, kept, sf), "test")
+        by_stage.append((kept.collect(), out.collect()))
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == start.columns, name
+        kept = out
+    before, after = by_stage[0]
+    assert {r.doc_id for r in after} == {r.doc_id for r in before if re.search(r"[^\W\d_]", r.text)}
+    before, after = by_stage[1]
+    assert {r.doc_id for r in after} == brute_kept([(r.doc_id, r.text) for r in before], 5, 80)
+    before, after = by_stage[2]
+    texts = {r.doc_id: r.text for r in after}
+    assert len(before) == len(after)
+    for r in before:
+        spans = [tuple(map(int, x.split(":")[1:])) for x in brute_spans(r.text).split(",") if x]
+        assert all(r.text[a:b] not in texts[r.doc_id] for a, b in spans)
+        assert spans or texts[r.doc_id] == r.text
+    before, after = by_stage[3]
+    assert {r.doc_id for r in after} <= {r.doc_id for r in before} and len(after) <= 1.5 * len(before)
+    before, after = by_stage[4]
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = sorted((r.doc_id, hashlib.sha256(np.array(enc.encode_ordinary(r.text), "<u4").tobytes()).hexdigest()) for r in before)
+    assert sorted((r.doc_id, r.ids_sha256) for r in after) == want
+    assert sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, sf).collect()) == want
