@@ -357,7 +357,7 @@ def _encoded(column: pa.Array, c: Codec) -> Iterator[tuple[int, int, np.ndarray,
         yield a, b, *c.encode(data[off[a] : off[b]], off[a : b + 1] - off[a])
 
 
-def _mapped(df: DataFrame, added: dict[str, str], rank_path: str, make: Callable[[pa.RecordBatch, Codec], Iterator[list[pa.Array]]]) -> DataFrame:
+def _mapped(df: DataFrame, added: dict[str, T.DataType], rank_path: str, make: Callable[[pa.RecordBatch, Codec], Iterator[list[pa.Array]]]) -> DataFrame:
     with open(rank_path, "rb") as f:
         ranks = f.read()
     names = [*df.columns, *added]
@@ -382,7 +382,7 @@ def encode(df: DataFrame, rank_path: str, text: str = "text", ids: str = "ids")
         for a, b, out, off in _encoded(batch.column(place), c):
             yield [x.slice(a, b - a) for x in batch.columns] + [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(out.astype(np.int32)))]
 
-    return _mapped(df, {ids: "array<int>"}, rank_path, make)
+    return _mapped(df, {ids: T.ArrayType(T.IntegerType())}, rank_path, make)
 
 
 def decode(df: DataFrame, rank_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -393,7 +393,7 @@ def decode(df: DataFrame, rank_path: str, ids: str = "ids", text: str = "decoded
         texts = ["".join(c.stream(np.asarray(x.values, np.int64))) if x.is_valid else "" for x in batch.column(place)]
         yield [*batch.columns, pa.array(texts, pa.string())]
 
-    return _mapped(df, {text: "string"}, rank_path, make)
+    return _mapped(df, {text: T.StringType()}, rank_path, make)
 
 
 def round_trip(df: DataFrame, rank_path: str) -> DataFrame:
