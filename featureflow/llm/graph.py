@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from featureflow.llm.common import materialise
 
+#: Links up to which a step is one task: dealing so few out takes longer than the work.
+FEW = 50_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) of any orderable type -> (node, root): root is the smallest node reachable.
@@ -17,14 +20,20 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = materialise(edges, "edges")
+    few = edges.count() <= FEW  # steps never add links
+
+    def together(df: DataFrame) -> DataFrame:
+        return df.coalesce(1) if few else df
+
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        edges = together(edges)
+        both = together(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
-        small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = together(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))))
         edges = materialise(small.distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:

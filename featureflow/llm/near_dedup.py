@@ -1,17 +1,19 @@
 """Near-duplicate documents by MinHash: one-permutation hashing with optimal densification, banded buckets, star-shaped candidates.
 
 A document's set holds its distinct word shingles. Documents with equal sets form a class at once.
-Each class gets a sketch of `bins` minima from one permutation, whose empty bins borrow from full
-ones (optimal densification); `bands` keys of `rows` bins each put it into buckets. Candidates are
-checked on full sets, in two steps that together cover every pair that shares a bucket:
+Each class gets a sketch of minima from one permutation, whose empty bins borrow from full ones
+(optimal densification); `bands` keys of `rows` bins each put it into buckets. Candidates are
+checked on full sets, in steps that together cover every pair that shares a bucket:
 
 1. star: each member of a bucket against the bucket's smallest member, one pair a member;
-2. rest: buckets whose members are in different components by then are compared in blocks on their
-   sketches, and pairs of different components that agree in enough bins are checked on full sets.
+2. trees: buckets whose members are in different components by then are compared in blocks, on all
+   hashes of their sets cut to 16 bits. Cut hashes can only add to an intersection, so the pairs that
+   still reach the threshold hold all links. Of those in a block, only as many as join its components
+   to trees go on to the check; some members of the first block are in every block and join the blocks;
+3. rest: where components still differ, all such pairs of different components go on to the check.
 
 Pairs inside a component need no check, since only components are asked for. A pair at similarity
-0.85 shares no bucket with probability (1 - 0.85^5)^24 < 1e-6, and one that does agrees in fewer
-bins than step 2 asks for with probability about 1e-5.
+0.85 shares no bucket with probability (1 - 0.85^5)^24 < 1e-6; all that share one are covered.
 
 Cases: null or empty text, or text without words, has an empty set and is linked with nothing.
 A null doc_id takes no part (component_id null, kept true). Repeated rows are copies of each other.
@@ -21,6 +23,7 @@ Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,8 +38,10 @@ from featureflow.llm.wordvec import mix, shingle_sets, words
 
 #: Most bytes of class keys that are broadcast; larger sets of candidates are joined by shuffle.
 BROADCAST_BYTES = 64 << 20
-#: Members of a bucket that one step of the rest compares with as many others.
-BLOCK = 512
+#: Members of a bucket, and hashes of their sets, that one step of the rest compares with as many others.
+BLOCK, BLOCK_HASHES = 2048, 1 << 19
+#: Members of a bucket's first block that are added to its other blocks.
+SHARED = 64
 
 
 @dataclass(frozen=True)
@@ -45,14 +50,11 @@ class Params:
     percent: int = 85  # linked if 100 * intersection >= percent * union
     bands: int = 24
     rows: int = 5
-    bins: int = 512
     seed: int = 1
 
     @property
-    def agree(self) -> int:
-        """Bins that a pair at the threshold agrees in but for a chance of about 1e-5 (4.3 deviations below the mean)."""
-        p = self.percent / 100
-        return int(self.bins * p - 4.3 * (self.bins * p * (1 - p)) ** 0.5)
+    def bins(self) -> int:
+        return self.bands * self.rows
 
 
 class Sketcher:
@@ -62,7 +64,6 @@ class Sketcher:
         self.p = p
         draw = np.random.default_rng(p.seed)
         self.at = draw.integers(0, p.bins, (attempts, p.bins))
-        self.used = draw.choice(p.bins, p.bands * p.rows, replace=False)
         self.weights = draw.integers(1, 2**63, p.rows, dtype=np.uint64) | np.uint64(1)
         self.salt = draw.integers(1, 2**63, p.bands, dtype=np.uint64)
 
@@ -91,7 +92,7 @@ class Sketcher:
         return out
 
     def keys(self, sketches: np.ndarray) -> np.ndarray:
-        b = sketches[:, self.used].reshape(len(sketches), self.p.bands, self.p.rows)
+        b = sketches.reshape(len(sketches), self.p.bands, self.p.rows)
         return mix((b * self.weights).sum(2, dtype=np.uint64) + self.salt).view(np.int64)
 
 
@@ -106,21 +107,20 @@ def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, int, list[np.ndarr
 
 
 def sketches(docs: DataFrame, p: Params) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, cls (key of the set), keys (of the bands), sketch (a byte a bin)."""
+    """docs (doc_id, text) -> doc_id, n_shingles, cls (key of the set), keys (of the bands)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(p)
         for batch in batches:
             for a, b, sets in _sets(batch.column(1), p.shingle):
                 full = np.stack([sketcher.sketch(s) for s in sets])
-                low = np.ascontiguousarray(mix(full).astype(np.uint8))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), int_list(sketcher.keys(full), pa.int64()), pa.array([x.tobytes() for x in low], pa.binary())],
-                    ["doc_id", "n_shingles", "cls", "keys", "sketch"],
+                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), int_list(sketcher.keys(full), pa.int64())],
+                    ["doc_id", "n_shingles", "cls", "keys"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, cls binary, keys array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, cls binary, keys array<long>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
@@ -148,31 +148,92 @@ def _verify(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _close(blocks: DataFrame, p: Params) -> DataFrame:
-    """Blocks (left, right: arrays of (cls, root, sketch)) -> pairs (a, b) of different roots that agree in enough bins."""
+def _cut(texts: DataFrame, p: Params) -> DataFrame:
+    """texts (cls, text) -> cls, n (size of the set), low (its hashes, cut to 16 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, sets in _sets(batch.column(1), p.shingle):
+                low = [(x >> np.uint64(40)).astype(np.uint16).tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array(low, pa.binary())], ["cls", "n", "low"])
+
+    return texts.select("cls", "text").mapInArrow(run, "cls binary, n long, low binary")
+
+
+class _Side:
+    """Members of a bucket's block: names, roots, set sizes and cut hashes one after another."""
+
+    def __init__(self, rows: pa.StructArray):
+        self.cls, self.root = rows.field("cls").to_pylist(), rows.field("root").to_pylist()
+        self.n = np.asarray(rows.field("n"))
+        self.low = [np.frombuffer(x, np.uint16) for x in rows.field("low").to_pylist()]
+        self.all = np.concatenate(self.low)
+        self.first = np.concatenate([[0], np.cumsum(self.n)])[:-1]
+
+    def reach(self, x: np.ndarray, seen: np.ndarray, percent: int) -> np.ndarray:
+        """Members whose cut intersection with x reaches the threshold; seen: a false table of 2^16."""
+        seen[x] = True
+        both = np.add.reduceat(seen[self.all].astype(np.int32), self.first)
+        seen[x] = False
+        return np.flatnonzero(100 * both >= percent * (len(x) + self.n - both))
+
+
+def _close(blocks: DataFrame, p: Params, trees: bool) -> DataFrame:
+    """Blocks (left, right: arrays of (cls, root, n, low); right null: left) -> pairs (a, b) of different roots that may reach the threshold.
+
+    trees: only as many pairs of each row as join its roots where they can be joined.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << 16, bool)
         for batch in batches:
             for i in range(len(batch)):
-                sides = []
-                for side in (0, 1):
-                    s = batch.column(side)[i].values
-                    root = s.field("root").to_pylist()
-                    sides.append((s.field("cls").to_pylist(), root, np.frombuffer(b"".join(s.field("sketch").to_pylist()), np.uint8).reshape(len(root), p.bins)))
-                (a, root_a, x), (b, root_b, y) = sides
-                names = {r: k for k, r in enumerate({*root_a, *root_b})}
-                ra, rb = np.array([names[r] for r in root_a]), np.array([names[r] for r in root_b])
+                left = _Side(batch.column(0)[i].values)
+                right = _Side(batch.column(1)[i].values) if batch.column(1)[i].is_valid else left
+                # Members of the commonest root needn't be compared with each other, so the others look for partners.
+                common = Counter(left.root + right.root).most_common(1)[0][0]
+                joined: dict[bytes, bytes] = {}
+
+                def top(r: bytes, joined: dict[bytes, bytes] = joined) -> bytes:
+                    while (up := joined.get(r, r)) != r:
+                        joined[r] = joined.get(up, up)
+                        r = up
+                    return r
+
                 out = set()
-                for k in range(len(a)):
-                    rest = np.flatnonzero(rb != ra[k])
-                    for j in rest[(y[rest] == x[k]).sum(1) >= p.agree]:
-                        out.add((min(a[k], b[j]), max(a[k], b[j])))
+                for one, other in ((left, right), (right, left))[: 1 if right is left else 2]:
+                    for k, root in enumerate(one.root):
+                        if root != common:
+                            for j in other.reach(one.low[k], seen, p.percent).tolist():
+                                if other.root[j] != root:
+                                    if trees:
+                                        x, y = top(root), top(other.root[j])
+                                        if x == y:
+                                            continue
+                                        joined[x] = y
+                                    out.add((min(one.cls[k], other.cls[j]), max(one.cls[k], other.cls[j])))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([z[0] for z in out], pa.binary()), pa.array([z[1] for z in out], pa.binary())], ["a", "b"])
 
     return blocks.mapInArrow(run, "a binary, b binary")
 
 
+def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (key, n_blocks, cls, root) of the buckets whose members are in different components."""
+    placed = shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n_shingles", F.coalesce("root", "cls").alias("root"))
+    placed = materialise(placed, "placed")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_HASHES)).cast("int")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), blocks.alias("n_blocks")).filter("x <> y").select("key", "n_blocks")
+    return materialise(placed.join(mixed, "key").select("key", "n_blocks", "cls", "root"), "open")
+
+
+def _blocks(members: DataFrame, cut: DataFrame) -> DataFrame:
+    """(key, n_blocks, block, m): the members of each bucket in blocks."""
+    block = F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int")
+    member = F.struct("cls", "root", "n", "low").alias("m")
+    return materialise(members.join(cut, "cls").groupBy("key", "n_blocks", block.alias("block")).agg(F.collect_list(member).alias("m")), "blocks")
+
+
 def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     """documents (doc_id, text) -> doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id is it), one row a document."""
     docs = documents.select("doc_id", "text")
@@ -182,7 +243,7 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     # Columns of a class depend on its set alone, so any row's will do.
     classes = able.groupBy("cls").agg(F.min("doc_id").alias("low"))
     one = able.join(classes.select(F.col("low").alias("doc_id"), "cls"), ["doc_id", "cls"], "left_semi").dropDuplicates(["cls"])
-    members = one.select("cls", F.explode("keys").alias("key"))
+    members = one.select("cls", "n_shingles", F.explode("keys").alias("key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("centre")).filter("n > 1").drop("n")
     shared = materialise(members.join(buckets, "key"), "buckets")
 
@@ -194,21 +255,22 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     texts = _own(texts, p) if _repeated(texts) else texts.select("cls", "text")
     links = materialise(_verify(stars, texts, p), "links")
 
-    roots = components(links)
-    placed = shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    placed = materialise(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).filter("x <> y").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_blocks"))
-    sorted_ = placed.join(mixed, "key").join(one.select("cls", "sketch"), "cls")
-    block = F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int")
-    member = F.struct("cls", "root", "sketch").alias("m")
-    grouped = materialise(sorted_.groupBy("key", "n_blocks", block.alias("block")).agg(F.collect_list(member).alias("m")), "blocks")
+    open_ = _open(shared, materialise(components(links), "roots"))
+    cut = materialise(_cut(texts.join(open_.select("cls").distinct(), "cls", "left_semi"), p), "cut")
+    grouped = _blocks(open_, cut)
+    some = grouped.filter("block = 0 AND n_blocks > 1").select("key", F.slice("m", 1, SHARED).alias("some"))
+    whole = grouped.join(some, "key", "left").select(F.when((F.col("block") > 0) & F.col("some").isNotNull(), F.concat("m", "some")).otherwise(F.col("m")).alias("left"))
+    trees = _close(whole.select("left", F.when(F.lit(False), F.col("left")).alias("right")), p, trees=True).distinct()
+    links = materialise(links.unionByName(_verify(trees, texts, p)), "links")
+
+    roots = materialise(components(links), "roots")
+    grouped = _blocks(_open(shared, roots), cut)
     left = grouped.withColumn("to", F.explode(F.sequence("block", F.col("n_blocks") - 1)))
     right = grouped.select("key", F.col("block").alias("to"), F.col("m").alias("right"))
-    rest = _close(left.join(right, ["key", "to"]).select(F.col("m").alias("left"), "right"), p).distinct()
+    rest = _close(left.join(right, ["key", "to"]).select(F.col("m").alias("left"), F.when(F.col("block") != F.col("to"), F.col("right")).alias("right")), p, trees=False).distinct()
     more = materialise(_verify(rest, texts, p), "links")
-
-    merged = links.unionByName(more)
-    roots = materialise(components(merged), "roots")
+    if not more.isEmpty():
+        roots = materialise(components(links.unionByName(more)), "roots")
     named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "low", F.coalesce("root", "cls").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     ids = named.join(lowest, "root").select("cls", "component_id")
@@ -238,5 +300,6 @@ def deduplicate(documents: DataFrame, p: Params = Params()) -> DataFrame:
 
     A repeated row, having the same doc_id, stays repeated: `kept` is a property of the doc_id.
     """
-    gone = near_duplicates(documents, p).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = materialise(near_duplicates(documents, p).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() * 32 <= BROADCAST_BYTES else gone
     return documents.join(gone, documents["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
