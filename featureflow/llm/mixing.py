@@ -11,9 +11,10 @@ sample chosen by seeded hash of doc_id shows which words are much more likely in
 the others. The counts per domain of a sign's values are learned from all labelled rows.
 
 Fit: rates r minimise the squared distance between expected and target totals, measured in the
-totals' own scale (the inverse of their Gram matrix at the start), from r = 1. A gradient step then
-changes all rates by a linear function of the posterior; it is exact as long as no rate is cut at 0,
-and is repeated until no total is off by more than `close`, or `rounds` times.
+totals' own scale (the inverse Gram matrix of the documents whose rate isn't cut at 0), from r = 1.
+A gradient step changes all rates by a linear function of the posterior, and is projected to rates
+of 0 and more; without cuts one step is exact. Steps are repeated until no total is off by more than
+`close`, or `rounds` times.
 
 Cases: null text has no tokens and posteriors from its signs; null labels and labels of unknown ids
 are not learned from; an id with several labels counts with each. A domain that no document belongs
@@ -43,7 +44,7 @@ class Params:
     sample: int = 4000  # labelled rows from which telling words are chosen
     words: int = 60  # telling words of each domain at most
     seed: int = 23
-    rounds: int = 60
+    rounds: int = 12
     close: float = 1e-4
 
 
@@ -174,21 +175,27 @@ def fit(weights: DataFrame, p: Params = Params()) -> list[np.ndarray]:
     k = len(DOMAINS)
     post = [F.element_at("post", i + 1) for i in range(k)]
     tokens = F.col("n_tokens").cast("double")
-    first = weights.agg(*[F.sum(tokens * a) for a in post], *[F.sum(tokens * a * b) for a in post for b in post]).first()
-    totals = np.array([x or 0.0 for x in first[:k]])
-    gram = np.array([x or 0.0 for x in first[k:]]).reshape(k, k)
+
+    def sums(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Expected totals at the steps' rates, and the Gram matrix of posteriors where the rate isn't 0."""
+        rated = weights.select("n_tokens", "post", _rate(steps).alias("rate"))
+        free = tokens * (F.col("rate") > 0).cast("double")
+        row = rated.agg(*[F.sum(tokens * F.col("rate") * a) for a in post], *[F.sum(free * a * b) for a in post for b in post]).first()
+        got = np.array([x or 0.0 for x in row])
+        return got[:k], got[k:].reshape(k, k)
+
+    totals, gram = sums([])
     there = totals > 0
     if not there[0]:
         return []
     target = np.where(there, np.array(p.targets) * totals[0], 0.0)
-    scale = np.linalg.pinv(gram, rcond=1e-12)
     steps: list[np.ndarray] = []
     for _ in range(p.rounds):
         off = np.where(there, totals - target, 0.0)
         if np.abs(off).max() <= p.close * target.max():
             break
-        steps.append(scale @ off)
-        totals = np.array([x or 0.0 for x in weights.agg(*[F.sum(tokens * _rate(steps) * a) for a in post]).first()])
+        steps.append(np.linalg.pinv(gram, rcond=1e-12) @ off)
+        totals, gram = sums(steps)
     return steps
 
 
