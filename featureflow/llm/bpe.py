@@ -80,6 +80,7 @@ class Transducer:
         self.goes = self._goes_back if proper else self._goes_by_merges
         self.pairs: dict[int, bool] = {}
         self.pieces: dict[bytes, tuple[int, ...]] = {}
+        self.older: dict[bytes, tuple[int, ...]] = {}
         self._forget()
 
     def _add(self, b: bytes, i: int) -> None:
@@ -164,6 +165,8 @@ class Transducer:
         if same:
             agreed = out[-1]
             alive = [(n, t[same:]) for n, t in alive]
+        if all(t for _, t in alive):
+            agreed = -1  # no token will have it as its neighbour, so states needn't differ by it
         to = self.step[at << 8 | byte] = self._name((agreed, tuple(alive))), out
         return to
 
@@ -175,6 +178,9 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
+        known = self.older.pop(piece, None)
+        if known is not None:
+            return self._keep(piece, known)
         if len(self.states) > MOST_STATES:
             self._forget()
         at, out, step = 0, [], self.step
@@ -184,10 +190,13 @@ class Transducer:
             if to[1]:
                 out += to[1]
         out += self.states[at][1][-1][1]
-        ids = tuple(out)
+        return self._keep(piece, tuple(out))
+
+    def _keep(self, piece: bytes, ids: tuple[int, ...]) -> tuple[int, ...]:
+        """Remember a piece; those that weren't asked for since the last change of generations go."""
         if len(piece) < 64:
-            if len(self.pieces) >= MOST_PIECES:
-                self.pieces.clear()
+            if len(self.pieces) >= MOST_PIECES // 2:
+                self.pieces, self.older = {}, self.pieces
             self.pieces[piece] = ids
         return ids
 
