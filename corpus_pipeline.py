@@ -18,15 +18,11 @@ from featureflow.llm.near_dedup import Params, deduplicate
 from featureflow.llm.queries import rank_path
 from featureflow.llm.secrets import redact
 
-#: Documents whose best language is less likely than this are rejected; und always is.
-LEAST_SCORE = 0.3
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the documents' own language column and drops those that are in no language it knows."""
     model = train(docs, F.lit(True))
-    found = predict(docs, model, keep=True)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return predict(docs, model, keep=True, strict=True).filter("lang_pred <> 'und'").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,12 @@ which a ridge regression of each language against the rest is solved. Landmarks,
 into one weight per gram and language, so a batch of texts is scored by one matrix product of gram
 presence (a row a text) and weights. Whole texts are read, in training too.
 
+The scores compare the learned languages with each other, so they can't tell that a text is in none of
+them. That is told by the share of a text's 3-grams (occurrences, not distinct ones) that several
+landmarks of its best language have. Training rows of the language, each without itself among the
+landmarks, show what share is usual; `strict` predictions are `und` where a text's share is below a part of that by
+more than chance explains for so few 3-grams. A text of under three bytes has none, and is not judged.
+
 Training texts are a bounded sample: of each language the `per_language` documents with the least
 seeded hash of their doc_id, a count that doesn't depend on the size of the input.
 
@@ -41,6 +47,9 @@ class Params:
     landmarks: int = 60  # of each language
     ridge: float = 1e-2
     sharp: float = 6.0  # of the softmax that makes scores of the regressions' values
+    rare: float = 0.04  # a gram that no larger share of a language's landmarks has may come from a foreign passage in them
+    low: float = 0.05  # quantile of the training rows' known shares that is the usual one
+    part: float = 0.7  # of it, which a text must reach to be in the language
     seed: int = 11
 
 
@@ -70,21 +79,24 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def gram_sets(docs: DataFrame) -> DataFrame:
-    """docs (lang, text) -> lang, grams array<int>: a text's distinct grams, all levels numbered through."""
+    """docs (lang, text) -> lang, grams array<int>, counts array<int>: a text's distinct grams, all levels numbered through, and how often each comes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = utf8(batch.column(1))
             for i in range(len(batch)):
                 part = data[off[i] : off[i + 1]]
-                got, base = [], 0
+                got, many, base = [], [], 0
                 for n, code in enumerate(_grams(part, np.array([0, len(part)])), 1):
-                    got.append(np.unique(code[code >= 0]) + base)
+                    found, n_found = np.unique(code[code >= 0], return_counts=True)
+                    got.append(found + base)
+                    many.append(n_found)
                     base += SIGNS**n
                 all_ = np.concatenate(got).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.ListArray.from_arrays(pa.array([0, len(all_)], pa.int32()), pa.array(all_))], ["lang", "grams"])
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(all_)], pa.int32()), pa.array(x)) for x in (all_, np.concatenate(many).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *lists], ["lang", "grams", "counts"])
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, grams array<int>")
+    return docs.select("lang", "text").mapInArrow(run, "lang string, grams array<int>, counts array<int>")
 
 
 @dataclass
@@ -94,6 +106,8 @@ class Model:
     level: np.ndarray  # of each gram
     weights: np.ndarray  # a row a gram, a column a language
     sharp: float
+    known: np.ndarray  # a row a language, a column a gram: whether more than a few of its landmarks have it
+    least: np.ndarray  # of each language, the share of a text's 3-grams that should be known
 
     def scores(self, present: np.ndarray) -> np.ndarray:
         """Presence of each gram (columns) in each text (rows) -> a probability for each language."""
@@ -112,21 +126,21 @@ def _scaled(present: np.ndarray, level: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(rows: list[tuple[str, np.ndarray]], p: Params) -> Model:
-    """rows (language, gram numbers), in a fixed order; without rows, a model of no language."""
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], p: Params) -> Model:
+    """rows (language, gram numbers, their counts), in a fixed order; without rows, a model of no language."""
     if not rows:
-        return Model([], np.zeros(0, np.int32), np.zeros(0, int), np.zeros((0, 0), np.float32), p.sharp)
-    languages = sorted({lang for lang, _ in rows})
+        return Model([], np.zeros(0, np.int32), np.zeros(0, int), np.zeros((0, 0), np.float32), p.sharp, np.zeros((0, 0), bool), np.zeros(0))
+    languages = sorted({lang for lang, _, _ in rows})
     left = dict.fromkeys(languages, p.landmarks)
     marks = []
-    for i, (lang, _) in enumerate(rows):
+    for i, (lang, _, _) in enumerate(rows):
         if left[lang]:
             left[lang] -= 1
             marks.append(i)
     grams = np.unique(np.concatenate([rows[i][1] for i in marks] or [np.zeros(0, np.int32)]))
     level = (grams >= SIGNS).astype(int) + (grams >= SIGNS + SIGNS**2)
     present = np.zeros((len(rows), len(grams)), bool)
-    for i, (_, g) in enumerate(rows):
+    for i, (_, g, _) in enumerate(rows):
         at = np.searchsorted(grams, g)
         at = at[(at < len(grams))]
         present[i, at[np.isin(grams[at], g)]] = True
@@ -136,12 +150,33 @@ def fit(rows: list[tuple[str, np.ndarray]], p: Params) -> Model:
     keep = value > 1e-8 * max(value.max(initial=0), 1e-12)
     to_features = vector[:, keep] / np.sqrt(value[keep])  # kernel with the landmarks -> Nystroem features
     features = (x @ z.T) @ to_features
-    target = np.array([[lang == other for other in languages] for lang, _ in rows], float)
+    target = np.array([[lang == other for other in languages] for lang, _, _ in rows], float)
     share = target.sum(0)  # each language weighs the same, however many rows it has
     weight = (target / np.maximum(share, 1)).sum(1)[:, None] * len(rows) / max(len(languages), 1)
     gram = features.T @ (weight * features) + p.ridge * len(rows) / max(len(marks), 1) * np.eye(features.shape[1])
     solved = np.linalg.solve(gram, features.T @ (weight * target))
-    return Model(languages, grams, level, (z.T @ (to_features @ solved)).astype(np.float32), p.sharp)
+    own = [[i for i in marks if rows[i][0] == lang] for lang in languages]
+    # Landmarks of a language that have a gram, beyond as many as don't count.
+    have = np.stack([present[at].sum(0) - int(p.rare * len(at)) for at in own])
+    least = p.part * _usual(rows, set(marks), languages, grams, have, p)
+    return Model(languages, grams, level, (z.T @ (to_features @ solved)).astype(np.float32), p.sharp, have > 0, least)
+
+
+def _usual(rows: list[tuple[str, np.ndarray, np.ndarray]], marks: set[int], languages: list[str], grams: np.ndarray, have: np.ndarray, p: Params) -> np.ndarray:
+    """Of each language, a low quantile of the share of a training row's 3-grams that are known without it; have: more than 0 where a gram is known."""
+    shares: list[list[float]] = [[] for _ in languages]
+    for i, (lang, g, n) in enumerate(rows):
+        k, long = languages.index(lang), g >= SIGNS + SIGNS**2
+        if long.any():
+            at = np.minimum(np.searchsorted(grams, g[long]), len(grams) - 1)
+            known = (grams[at] == g[long]) & (have[k, at] > (i in marks))
+            shares[k].append(float(n[long][known].sum() / n[long].sum()))
+    return np.array([np.quantile(x, p.low) if x else 0.0 for x in shares])
+
+
+def _strange(known: np.ndarray, n: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether `known` of n 3-grams are fewer than a share `least` gives, less two deviations."""
+    return known < n * least - 2 * np.sqrt(n * least * (1 - least))
 
 
 def remainder(doc_id: Column) -> Column:
@@ -161,14 +196,14 @@ def train(documents: DataFrame, learn: Column, p: Params = Params()) -> Model:
     return fit(_ordered(rows), p)
 
 
-def _ordered(rows: list) -> list[tuple[str, np.ndarray]]:
+def _ordered(rows: list) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """Rows by a hash of their grams, so that neither tasks nor lengths decide which become landmarks."""
-    out = [(r.lang, np.array(r.grams, np.int32)) for r in rows if r.grams]
+    out = [(r.lang, np.array(r.grams, np.int32), np.array(r.counts, np.int32)) for r in rows if r.grams]
     return sorted(out, key=lambda r: (hashlib.sha256(r[1].tobytes()).digest(), r[0]))
 
 
-def predict(documents: DataFrame, model: Model, keep: bool = False) -> DataFrame:
-    """documents (doc_id, text) -> doc_id, lang_pred, score, one row a document; keep: all columns of documents instead of doc_id."""
+def predict(documents: DataFrame, model: Model, keep: bool = False, strict: bool = False) -> DataFrame:
+    """documents (doc_id, text) -> doc_id, lang_pred, score, one row a document; keep: all columns of documents instead of doc_id; strict: texts in none of the learned languages are `und` at score 0."""
     kept = documents.columns if keep else ["doc_id"]
     if clash := {"lang_pred", "score"} & set(kept):
         raise ValueError(f"columns {sorted(clash)} are already there")
@@ -187,6 +222,7 @@ def predict(documents: DataFrame, model: Model, keep: bool = False) -> DataFrame
             table[model.grams[at] - base] = at
             tables.append(table)
             base += SIGNS**n
+        have = np.pad(model.known, ((0, 0), (0, 1)))
         for batch in batches:
             data, off = utf8(batch.column(1))
             known = batch.column(2).to_numpy(zero_copy_only=False)
@@ -195,7 +231,8 @@ def predict(documents: DataFrame, model: Model, keep: bool = False) -> DataFrame
                 present = np.zeros((b - a) * width, bool)
                 row = np.repeat(np.arange(b - a, dtype=np.int64) * width, np.diff(o))
                 for table, code in zip(tables, _grams(part, o), strict=True):
-                    present[row + table[code]] = True
+                    place = table[code]
+                    present[row + place] = True
                 good = known[a:b] & bool(model.languages)
                 lang, score = np.full(b - a, "und", object), np.zeros(b - a)
                 if good.any():
@@ -203,6 +240,13 @@ def predict(documents: DataFrame, model: Model, keep: bool = False) -> DataFrame
                     best = p.argmax(1)
                     lang[good] = np.array(model.languages, object)[best]
                     score[good] = p[np.arange(len(p)), best]
+                    if strict:  # `place` is that of the 3-grams
+                        of = np.zeros(b - a, np.int64)
+                        of[good] = best
+                        text = row // width
+                        n_known = np.bincount(text, have[of[text], place], b - a)
+                        off_ = good & _strange(n_known, np.maximum(np.diff(o) - LEVELS + 1, 0), model.least[of])
+                        lang[off_], score[off_] = "und", 0.0
                 rows = batch.column(0).slice(a, b - a).flatten()
                 yield pa.RecordBatch.from_arrays([*rows, pa.array(lang.tolist(), pa.string()), pa.array(score, pa.float64())], names)
 

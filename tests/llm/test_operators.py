@@ -283,6 +283,21 @@ def test_language_is_learned_and_und_has_no_letters(spark):
         predict(train_rows.withColumn("score", F.lit(1)), model, keep=True)
 
 
+@pytest.mark.parametrize("n_languages", [1, 2, 3])
+def test_pipeline_drops_a_language_that_is_not_known(spark, n_languages):
+    import corpus_pipeline
+
+    rng = random.Random(n_languages)
+    make = lambda parts, n=60: " ".join("".join(rng.choices(parts, k=3)) for _ in range(n))
+    parts = [["the", "ing", "sh", "an", "er"], ["ción", "que", "os", "ll", "da"], ["eau", "ou", "ment", "ré", "ç"]][:n_languages]
+    rows = [(1000 * k + i, make(p), f"l{k}", "s", 0) for k, p in enumerate(parts) for i in range(60)]
+    rows += [(5000 + i, make(p, 4), None, "s", 0) for i, p in enumerate(parts)]
+    strange = [make(["kko", "yht", "sii", "vuo", "ämp"]) for _ in range(5)] + [make(["kko", "yht", "sii"], 5), "привет мир", "".join(rng.choices(string.ascii_letters, k=400))]
+    planted = [(9000 + i, t, None, "s", 0) for i, t in enumerate(strange)]
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, spark.createDataFrame(rows + planted, DOC), "").collect()}
+    assert kept == {r[0] for r in rows}
+
+
 def test_held_out_accuracy(spark):
     from featureflow.llm.queries import op8_language_id
 
