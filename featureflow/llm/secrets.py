@@ -1,7 +1,8 @@
 """Secrets in texts: fixed patterns, and a battery of randomness tests, in DataFrame functions only.
 
 Fixed patterns find assignments, access keys and long hex runs. The battery looks at every long run
-of encoding characters. Its encoding is inferred from the characters that it has; under the
+of encoding characters, and where fixed patterns cover some of it, at every long piece that they leave
+(those shorter than `LEAST_RUN` are not looked at). Its encoding is inferred from the characters that it has; under the
 hypothesis that it is random, three statistics have known means and variances at any length:
 chi-squared of the characters' counts against a uniform alphabet, the number of runs above and below
 the alphabet's middle, and the serial correlation of neighbours. A run that random text would hardly
@@ -32,7 +33,8 @@ ASSIGN = _ASSIGN_HEAD + r"[A-Za-z0-9+/_.=-]+"
 #: A longest run that is long enough, which is the same as a longest run, kept if long enough.
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
-RUN = r"[A-Za-z0-9+/_-]{20,}"
+LEAST_RUN = 20
+RUN = rf"[A-Za-z0-9+/_-]{{{LEAST_RUN},}}"
 SPAN = "array<struct<start:bigint,ord:int,end:bigint>>"
 CANDIDATE = "array<struct<start:bigint,end:bigint,step:int>>"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -43,6 +45,7 @@ class Params:
     least_z: float = 3.2  # deviations at which one of three tests rejects randomness, all together about 0.4 %
     coincidence: float = 0.065  # chance that two letters of written text are equal
     hex_coincidence: float = 0.12
+    digit_coincidence: float = 0.15
     false_share: float = 0.02
     most_steps: int = 400
 
@@ -69,8 +72,17 @@ def _alphabet(run: Column) -> Column:
     """The smallest alphabet that a run may be over."""
     both = UPPER + LOWER
     return (
-        F.when(run.rlike("^[0-9a-f]+$"), DIGITS + "abcdef")
+        F.when(run.rlike("^[0-9]+$"), DIGITS)
+        .when(run.rlike("^[0-9_-]+$"), DIGITS + "-_")
+        .when(run.rlike("^[0-9+/]+$"), DIGITS + "+/")
+        .when(run.rlike("^[0-9a-f]+$"), DIGITS + "abcdef")
         .when(run.rlike("^[0-9A-F]+$"), DIGITS + "ABCDEF")
+        .when(run.rlike("^[a-z]+$"), LOWER)
+        .when(run.rlike("^[A-Z]+$"), UPPER)
+        .when(run.rlike("^[a-z_-]+$"), LOWER + "-_")
+        .when(run.rlike("^[A-Z_-]+$"), UPPER + "-_")
+        .when(run.rlike("^[a-z+/]+$"), LOWER + "+/")
+        .when(run.rlike("^[A-Z+/]+$"), UPPER + "+/")
         .when(run.rlike("^[A-Z2-7]+$"), UPPER + "234567")
         .when(run.rlike("^[0-9a-z]+$"), DIGITS + LOWER)
         .when(run.rlike("^[0-9A-Z]+$"), DIGITS + UPPER)
@@ -90,10 +102,10 @@ def _upper_tail(z: Column) -> Column:
 
 
 def _judged(candidates: Column, p: Params) -> Column:
-    """Runs (start, end, hit) of two kinds of characters -> those that pass the battery, with the step of their chance to be words."""
+    """Runs (start, end, hit) with a letter or digit -> start, end and the step of their chance to be words; 0 if they don't pass the battery."""
     number = lambda x: x.cast("double")
-    mixed = F.filter(candidates, lambda c: (c["hit"].rlike("[0-9]").cast("int") + c["hit"].rlike("[a-z]").cast("int") + c["hit"].rlike("[A-Z]").cast("int")) >= 2)
-    named = F.transform(mixed, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["hit"].alias("hit"), _alphabet(c["hit"]).alias("signs"), F.filter(F.split(c["hit"], ""), lambda s: s != "").alias("chars")))
+    signed = F.filter(candidates, lambda c: c["hit"].rlike("[A-Za-z0-9]"))
+    named = F.transform(signed, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["hit"].alias("hit"), _alphabet(c["hit"]).alias("signs"), F.filter(F.split(c["hit"], ""), lambda s: s != "").alias("chars")))
     placed = F.transform(
         named,
         lambda c: F.struct(
@@ -128,7 +140,7 @@ def _judged(candidates: Column, p: Params) -> Column:
 
     def step(c: Column) -> Column:
         n, m = c["n"], c["m"]
-        rate = F.when(m == 16, F.lit(p.hex_coincidence)).otherwise(F.lit(p.coincidence))
+        rate = F.when(m == 16, F.lit(p.hex_coincidence)).when(m < 16, F.lit(p.digit_coincidence)).otherwise(F.lit(p.coincidence))
         shift = n * (m * rate - 1)
         z = (m - 1 + shift - c["chi"]) / F.sqrt(2 * (m - 1 + 2 * shift))
         chance = F.when(z <= 0, F.lit(1.0)).otherwise(_upper_tail(F.least(z, F.lit(30.0))))
@@ -137,13 +149,32 @@ def _judged(candidates: Column, p: Params) -> Column:
     return F.transform(counted, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.when(random(c), step(c)).otherwise(F.lit(0)).alias("step")))
 
 
+def _outside(runs: Column, base: Column) -> Column:
+    """The pieces of runs (start, end, hit) that no span of `base` (by start) covers, if they are long enough."""
+    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,hit:string>>)")
+
+    def pieces(c: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:
+            hit = F.substr(c["hit"], (a - c["start"] + 1).cast("int"), (b - a).cast("int"))
+            return F.when(b - a >= LEAST_RUN, F.array(F.struct(a.alias("start"), b.alias("end"), hit.alias("hit")))).otherwise(none)
+
+        def step(acc: Column, b: Column) -> Column:
+            return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], piece(acc["at"], b["start"])).alias("out"))
+
+        over = F.filter(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+        rest = F.aggregate(over, F.struct(c["start"].alias("at"), none.alias("out")), step, lambda acc: F.concat(acc["out"], piece(acc["at"], c["end"])))
+        return F.when(F.size(over) > 0, rest).otherwise(F.array(c))
+
+    return F.flatten(F.transform(runs, pieces))
+
+
 def spans(documents: DataFrame, p: Params = Params()) -> DataFrame:
-    """documents with `base` (spans of the fixed patterns by start, then kind) and `candidates` (runs that don't overlap them)."""
+    """documents with `base` (spans of the fixed patterns by start, then kind) and `candidates` (runs outside of them)."""
     text = F.coalesce("text", F.lit(""))
     value = lambda hit: F.regexp_replace(hit, "^" + _ASSIGN_HEAD, "")
     df = documents.withColumn("_a", F.filter(_found(text, ASSIGN), lambda x: F.length(value(x["hit"])) >= 6))
     df = df.withColumn("base", F.array_sort(F.concat(_spans(F.col("_a"), 0), _spans(_found(text, ACCESS), 1), _spans(_found(text, HEX), 2))).cast(SPAN)).drop("_a")
-    df = df.withColumn("_r", F.filter(_found(text, RUN), lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
+    df = df.withColumn("_r", _outside(_found(text, RUN), F.col("base")))
     return df.withColumn("candidates", F.when(F.size("_r") > 0, _judged(F.col("_r"), p)).otherwise(F.array()).cast(CANDIDATE)).drop("_r")
 
 
