@@ -300,14 +300,15 @@ def synthetic_three_numbers(spark: SparkSession, d: str) -> DataFrame:
 _EPOCH = "event_id % 4"
 
 
-def _incremental(spark: SparkSession, d: str, retract: bool) -> DataFrame:
-    """The sum of all changes put out over epochs of the events, of which some are taken back in the last."""
+def _incremental(spark: SparkSession, d: str, retract: bool, last: bool = False) -> DataFrame:
+    """The sum of all changes put out over epochs of the events, of which some are taken back in the last; last: only what the last epoch puts out."""
     df = table(spark, d, "events", "event_id", "event_type", "value")
     config = [("value", StandardScaler()), ("value", MinMaxScaler()), ("value", KBinsDiscretizer(4))]
     inc = IncrementalEncoder(spark, config, "event_id long, event_type string, value double", f"{shared_dir(spark)}/state-{uuid.uuid4().hex}")
     outputs = [inc.process(e, df.filter(f"{_EPOCH} = {e}").withColumn("diff", F.lit(1))) for e in range(4)]
     if retract:
         outputs.append(inc.process(4, df.filter("event_id % 7 = 0").withColumn("diff", F.lit(-1))))
+    outputs = outputs[-1:] if last else outputs
     out = outputs[0]
     for o in outputs[1:]:
         out = out.unionByName(o)
@@ -327,3 +328,15 @@ def incremental_final_state(spark: SparkSession, d: str) -> DataFrame:
 @query(_incremental_sql("event_id % 7 <> 0"))
 def retraction_final_state(spark: SparkSession, d: str) -> DataFrame:
     return _incremental(spark, d, True)
+
+
+_DELTA_SQL = f"""
+SELECT event_id, z, s, bin, sum(n)::BIGINT AS n FROM ({_incremental_sql("true")} UNION ALL
+    SELECT event_id, z, s, bin, -n FROM ({_incremental_sql("event_id % 4 < 3")})) GROUP BY ALL HAVING sum(n) <> 0
+"""
+
+
+@query(_DELTA_SQL)
+def incremental_delta(spark: SparkSession, d: str) -> DataFrame:
+    """What the last epoch changes in the encoded rows."""
+    return _incremental(spark, d, False, last=True)

@@ -9,6 +9,11 @@ into it from its changes alone. Only if that changes an encoder's published meta
 encoded again, under the old and the new metadata, and only rows whose code differs are put out.
 Rounded metadata therefore keep updates as cheap as the rows that they bring.
 
+That holds for single scalers, bins and encoders that number values. Text encoders and pipelines with
+anything to fit have no state of their own: each epoch fits them again on all live rows, encodes these
+and puts out what differs from the encoded rows of the epoch before, which are kept. Output is as
+exact, but an epoch then costs as much as a fit and transform of the live rows.
+
 The state of each epoch is a folder of its own below `path`, written before the epoch's output is
 handed over, and named by the epoch: an epoch that is repeated after a failure starts from the one
 before it and gives the same again.
@@ -28,7 +33,11 @@ from featureflow.functions.capacity import resized
 from featureflow.operators.base import Encoder
 from featureflow.operators.categorical import OneHotEncoder, OrdinalEncoder
 from featureflow.operators.scalers import MinMaxScaler, StandardScaler
+from featureflow.operators.stateless import FunctionEncoder, HashVectorizer, Passthrough, PolynomialFeatures
 from featureflow.plans.compose import flat
+from featureflow.plans.planner import fit_chains
+
+STATELESS = (FunctionEncoder, HashVectorizer, Passthrough, PolynomialFeatures)
 
 
 @dataclass
@@ -81,7 +90,7 @@ def _summed(rows: DataFrame) -> DataFrame:
 
 
 class IncrementalEncoder:
-    """config: (column, encoder) entries as for MultiColumnEncoder; encoders of one stage each.
+    """config: (column, encoder) entries as for MultiColumnEncoder, columns by name.
 
     Columns of the input are `columns` (types as in Spark's DDL) and diff; output rows have the
     input's columns, e0, e1, ... and diff.
@@ -89,12 +98,12 @@ class IncrementalEncoder:
 
     def __init__(self, spark: SparkSession, config: list[tuple[str, Encoder]], columns: str, path: str):
         self.spark, self.columns, self.path = spark, columns, path.rstrip("/")
-        self.chains = []
-        for column, encoder in config:
-            stages = flat(encoder)
-            if len(stages) != 1:
-                raise ValueError("pipelines of several stages are encoded again as a whole; use MultiColumnEncoder")
-            self.chains.append((column, stages[0]))
+        self.chains = [(column, flat(encoder)) for column, encoder in config]
+        #: Chains that each epoch fits again on the live rows.
+        self.refitted = [(column, stages) for column, stages in self.chains if not self._merges(stages) and not all(isinstance(e, STATELESS) for e in stages)]
+
+    def _merges(self, stages: list[Encoder]) -> bool:
+        return len(stages) == 1 and (isinstance(stages[0], StandardScaler) or self._counts_values(stages[0]))
 
     def _counts_values(self, e: Encoder) -> bool:
         return isinstance(e, (MinMaxScaler, OneHotEncoder, OrdinalEncoder))
@@ -167,13 +176,23 @@ class IncrementalEncoder:
 
     def _encode(self, rows: DataFrame, states: list[State]) -> DataFrame:
         out = []
-        for (column, e), state in zip(self.chains, states, strict=True):
-            self._prepare(e, state)
-            rows, x = e.encode(rows, F.col(column))
+        for (column, stages), state in zip(self.chains, states, strict=True):
+            if self._merges(stages):
+                self._prepare(stages[0], state)
+            x = F.col(column)
+            for e in stages:
+                rows, x = e.encode(rows, x)
             out.append(x)
         names = [c.split()[0] for c in self.columns.split(", ")]
         return rows.select(*names, *[x.alias(f"e{i}") for i, x in enumerate(out)], "diff")
 
+    def _refit(self, at: str, states: list[State]) -> None:
+        """Fit the chains without state on the live rows, each as often as it is there, and write the encoded rows."""
+        rows = self.spark.read.schema(f"{self.columns}, diff long").parquet(f"{at}/rows")
+        times = F.explode(F.sequence(F.lit(1).cast("long"), "diff"))
+        fit_chains(rows.filter("diff > 0").select(*rows.columns, times.alias("_times")), self.refitted)
+        self._encode(rows, states).write.mode("overwrite").parquet(f"{at}/encoded")
+
     def process(self, epoch: int, changes: DataFrame) -> DataFrame:
         """Take the changes of an epoch (numbered from 0, one after another) and give the changes of the encoded rows."""
         at = f"{self.path}/epoch={epoch}"
@@ -182,18 +201,23 @@ class IncrementalEncoder:
         changes = self.spark.read.schema(f"{self.columns}, diff long").parquet(f"{at}/changes")
         old, rows = self._load(epoch - 1)
         new = []
-        for (column, e), state in zip(self.chains, old, strict=True):
-            if isinstance(e, StandardScaler):
+        for (column, stages), state in zip(self.chains, old, strict=True):
+            if not self._merges(stages):
+                new.append(state)
+            elif isinstance(stages[0], StandardScaler):
                 new.append(self._merge_stats(state, changes, column))
-            elif self._counts_values(e):
-                new.append(self._merge_values(state, changes, column, e, at))
             else:
-                new.append(state)
-        same = rows is None or all(self._meta(e, a) == self._meta(e, b) for (_, e), a, b in zip(self.chains, old, new, strict=True))
+                new.append(self._merge_values(state, changes, column, stages[0], at))
+        same = rows is None or all(self._meta(e[0], a) == self._meta(e[0], b) for (_, e), a, b in zip(self.chains, old, new, strict=True))
         live = changes if rows is None else _summed(rows.unionByName(changes))
         live.write.mode("overwrite").parquet(f"{at}/rows")
+        if self.refitted:
+            self._refit(at, new)
         meta = json.dumps([s.__dict__ for s in new])
         self.spark.createDataFrame([(meta,)], "meta string").write.mode("overwrite").json(f"{at}/meta")
+        if self.refitted:
+            after = self.spark.read.parquet(f"{at}/encoded")
+            return after if rows is None else _summed(after.unionByName(self.spark.read.parquet(f"{self.path}/epoch={epoch - 1}/encoded").withColumn("diff", -F.col("diff"))))
         if same:
             return self._encode(changes, new)
         after = self._encode(self.spark.read.schema(f"{self.columns}, diff long").parquet(f"{at}/rows"), new)

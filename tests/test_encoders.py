@@ -216,6 +216,29 @@ def test_changes_add_up_to_a_batch(spark, tmp_path, seed):
     assert len({(k[2], k[6]) for k in total}) == len({k[6] for k in total}) == len({k[2] for k in total})
 
 
+def test_text_and_pipelines_follow_changes(spark, tmp_path):
+    def config():
+        return [("t", CountVectorizer()), ("t", Pipeline([CountVectorizer(), TfidfTransformer()])), ("x", Pipeline([KBinsDiscretizer(3), OneHotEncoder()])), ("x", MinMaxScaler())]
+
+    kinds, names = "id long, t string, x double", ["id", "t", "x"]
+    epochs = [
+        [(1, "a b a", 1.0, 1), (2, "b c", 5.0, 2), (3, None, 2.0, 1)],
+        [(4, "c d e new", 9.0, 1), (1, "a b a", 1.0, -1)],
+        [(2, "b c", 5.0, -1), (5, "", None, 1)],
+    ]
+    live, total = collections.Counter(), collections.Counter()
+    as_key = lambda r: (r.id, r.t, r.x, tuple(r.e0), tuple(r.e1), tuple(r.e2), r.e3)
+    for epoch, changes in enumerate(epochs):
+        inc = IncrementalEncoder(spark, config(), kinds, str(tmp_path))  # a new one, as after a restart
+        for r in inc.process(epoch, spark.createDataFrame(changes, f"{kinds}, diff long")).collect():
+            total[as_key(r)] += r.diff
+        for *key, n in changes:
+            live[tuple(key)] += n
+        rows = spark.createDataFrame([k for k, c in live.items() for _ in range(c)], kinds)
+        want = collections.Counter(as_key(r) for r in MultiColumnEncoder(config()).fit(rows).columns(rows, names).collect())
+        assert {k: c for k, c in total.items() if c} == want
+
+
 def test_rounded_metadata_keep_updates_small(spark, tmp_path):
     inc = IncrementalEncoder(spark, [("x", StandardScaler(1, 1))], "id long, x double", str(tmp_path))
     base = spark.range(100).select("id", (F.col("id") % 10).cast("double").alias("x"), F.lit(1).alias("diff"))
