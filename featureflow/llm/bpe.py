@@ -15,7 +15,10 @@ Decoding joins the tokens' bytes; a state machine over UTF-8 holds back a charac
 byte has come, so that ids can be decoded as a stream.
 
 Cases: null or empty text has no ids and decodes to empty text; null in `ids` decodes to empty text.
-Ids outside the vocabulary raise ValueError. Other columns are kept as they are.
+Ids outside the vocabulary raise ValueError. Rows that repeat are encoded each; order plays no part, so
+ties can't arise. A text of any length is read whole, in one piece if it has one; a worker holds it and
+its ids. An empty table gives one. Other columns are kept as they are; a column that has the name of
+one to be added raises ValueError.
 """
 
 from __future__ import annotations
@@ -31,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from featureflow.llm.common import chunks, utf8
-from featureflow.llm.wordvec import _byte_values, _tables, mix
+from featureflow.llm.common import chunks, in_worker, utf8, worker_tables
+from featureflow.llm.wordvec import SHORT, lanes, run_hashes
 
-#: Most transducer states, and most pieces remembered with their ids, in a worker.
-MOST_STATES, MOST_PIECES = 150_000, 300_000
+#: Most transducer states, transitions, judged pairs of tokens, and pieces remembered with their ids, in a worker: some 250 MB.
+MOST_STATES, MOST_STEPS, MOST_PAIRS, MOST_PIECES = 110_000, 220_000, 150_000, 160_000
 #: Characters of Unicode's White_Space property.
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
@@ -145,7 +148,7 @@ class Transducer:
                 if last >= 0:
                     good = pairs.get(last << 24 | t)
                     if good is None:
-                        if len(pairs) > MOST_STATES:
+                        if len(pairs) > MOST_PAIRS:
                             pairs.clear()
                         good = pairs[last << 24 | t] = self.goes(last, t)
                 if good:
@@ -153,20 +156,26 @@ class Transducer:
             if self.inner[now]:
                 alive.append((now, tokens))
         alive.append((0, here))
-        low, high = alive[0][1], alive[0][1]
-        for _, t in alive:
-            low, high = min(low, t), max(high, t)
-        same = 0
-        for x, y in zip(low, high, strict=False):
-            if x != y:
+        out = alive[0][1]
+        if out:  # where the first one holds no token, nothing is agreed on
+            others, same, least = [t for _, t in alive[1:]], 0, min([len(t) for _, t in alive])
+            while same < least:
+                x = out[same]
+                for t in others:
+                    if t[same] != x:
+                        break
+                else:
+                    same += 1
+                    continue
                 break
-            same += 1
-        out = low[:same]
-        if same:
-            agreed = out[-1]
-            alive = [(n, t[same:]) for n, t in alive]
-        if all(t for _, t in alive):
-            agreed = -1  # no token will have it as its neighbour, so states needn't differ by it
+            out = out[:same]
+            if same:
+                agreed = out[-1]
+                alive = [(n, t[same:]) for n, t in alive]
+                if alive[0][1] and all([t for _, t in alive]):
+                    agreed = -1  # no token will have it as its neighbour, so states needn't differ by it
+            elif all([t for _, t in alive]):
+                agreed = -1
         to = self.step[at << 8 | byte] = self._name((agreed, tuple(alive))), out
         return to
 
@@ -181,7 +190,7 @@ class Transducer:
         known = self.older.pop(piece, None)
         if known is not None:
             return self._keep(piece, known)
-        if len(self.states) > MOST_STATES:
+        if len(self.states) > MOST_STATES or len(self.step) > MOST_STEPS:
             self._forget()
         at, out, step = 0, [], self.step
         for byte in piece:
@@ -299,6 +308,21 @@ def split(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return lead[starts[:n]]
 
 
+def _equal_pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One piece of each group of pieces data[start:end] with equal bytes, and each piece's group: hashes propose groups, the bytes decide."""
+    _, first, back = np.unique(run_hashes(data, start, end), return_index=True, return_inverse=True)
+    size, of = end - start, first[back]
+    low, high = lanes(data, start, size)
+    same = (size == size[of]) & (low == low[of]) & (high == high[of])
+    long = np.flatnonzero(same & (size > SHORT) & (of != np.arange(len(of))))
+    raw = data.tobytes() if len(long) else b""
+    for i, a, b, x in zip(long.tolist(), start[long].tolist(), end[long].tolist(), start[of[long]].tolist(), strict=True):
+        same[i] = raw[a:b] == raw[x : x + b - a]
+    other = np.flatnonzero(~same)  # a group of its own each
+    back[other] = len(first) + np.arange(len(other))
+    return np.concatenate([first, other]), back
+
+
 class Codec:
     """Batches of texts to ids and back."""
 
@@ -318,11 +342,7 @@ class Codec:
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         end = np.append(start[1:], len(data))
-        power, inverse = _tables(len(data))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_byte_values(False)[data] * power[: len(data)], out=sums[1:])
-        h = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
-        _, first, back = np.unique(h, return_index=True, return_inverse=True)
+        first, back = _equal_pieces(data, start, end)
         raw, one = data.tobytes(), self.transducer.encode
         ids = [one(raw[a:b]) for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -348,16 +368,12 @@ class Codec:
         yield machine.finish()
 
 
-_codecs: dict[bytes, Codec] = {}
-
-
 def codec(rank_file: bytes) -> Codec:
-    """The codec of a rank file, compiled once in each worker."""
-    key = hashlib.sha256(rank_file).digest()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(rank_file)
-    return _codecs[key]
+    """The codec of a rank file, compiled once in each worker and kept until another operator's task comes."""
+    kept, key = worker_tables("bpe"), hashlib.sha256(rank_file).digest()
+    if kept.get("key") != key:
+        kept.update(key=key, codec=Codec(rank_file))
+    return kept["codec"]
 
 
 def _encoded(column: pa.Array, c: Codec) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -369,8 +385,11 @@ def _encoded(column: pa.Array, c: Codec) -> Iterator[tuple[int, int, np.ndarray,
 def _mapped(df: DataFrame, added: dict[str, T.DataType], rank_path: str, make: Callable[[pa.RecordBatch, Codec], Iterator[list[pa.Array]]]) -> DataFrame:
     with open(rank_path, "rb") as f:
         ranks = f.read()
+    if clash := set(added) & set(df.columns):
+        raise ValueError(f"columns {sorted(clash)} are already there")
     names = [*df.columns, *added]
 
+    @in_worker("bpe")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks)
         for batch in batches:
@@ -424,6 +443,7 @@ def round_trip(df: DataFrame, rank_path: str) -> DataFrame:
     with open(rank_path, "rb") as f:
         ranks = f.read()
 
+    @in_worker("bpe")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks)
         for batch in batches:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +23,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets one of its own; a cluster has none that could be guessed."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="featureflow-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -39,6 +45,57 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+_kept: dict[str, dict] = {}
+
+
+def worker_tables(owner: str) -> dict:
+    """What this Python worker keeps for an operator from task to task.
+
+    Workers outlive a stage; when another operator's task comes, the tables of the one before go,
+    and the memory they took goes back to the system.
+    """
+    if owner not in _kept:
+        had = bool(_kept)
+        _kept.clear()
+        if had:
+            gc.collect()
+            give_back()
+        _kept[owner] = {}
+    return _kept[owner]
+
+
+def give_back() -> None:
+    """Return memory that is free but held by the allocators, where they can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def in_worker(owner: str) -> Callable:
+    """For functions over Arrow batches: other operators' tables go before the task, unused memory after it."""
+
+    def of(run: Callable) -> Callable:
+        @wraps(run)
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker_tables(owner)
+            yield from run(batches)
+            give_back()
+
+        return task
+
+    return of
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables of `materialise` that nothing will read any more."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and its n + 1 offsets from 0; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -54,12 +111,12 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about `most` bytes each; a longer row is a range of its own."""
+def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES, rows: int = 50_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about `most` bytes each, and of `rows` rows at most; a longer row is a range of its own."""
     a, n = 0, len(offsets) - 1
     while a < n:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
-        b = min(b, n, a + 50_000)
+        b = min(b, n, a + rows)
         yield a, b
         a = b
 

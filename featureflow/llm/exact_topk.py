@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from featureflow.llm.common import materialise
+from featureflow.llm.common import in_worker, materialise
 
 #: Vectors, and queries, in a block: about 1 MB of exact vectors of 64 components.
 VECTORS, QUERIES = 4096, 512
@@ -95,6 +95,7 @@ def top_k(vectors: DataFrame, k: int, every: int) -> DataFrame:
     meets = q.join(counts, "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).drop("n_blocks")
     sides = v.join(meets, ["dim", "block"]).select("dim", "rows", "q")
 
+    @in_worker("exact_topk")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featureflow.llm.common import chunks, int_list, materialise, utf8
+from featureflow.llm.common import chunks, in_worker, int_list, materialise, utf8
 from featureflow.llm.graph import components
 from featureflow.llm.wordvec import mix, shingle_sets, words
 
@@ -109,6 +109,7 @@ def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, int, list[np.ndarr
 def sketches(docs: DataFrame, p: Params) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, cls (key of the set), keys (of the bands)."""
 
+    @in_worker("near_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(p)
         for batch in batches:
@@ -126,6 +127,7 @@ def sketches(docs: DataFrame, p: Params) -> DataFrame:
 def _verify(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     """Those pairs (a, b) of classes whose full sets reach the threshold."""
 
+    @in_worker("near_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
         for batch in batches:
@@ -151,6 +153,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
 def _cut(texts: DataFrame, p: Params) -> DataFrame:
     """texts (cls, text) -> cls, n (size of the set), low (its hashes, cut to 16 bits)."""
 
+    @in_worker("near_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, sets in _sets(batch.column(1), p.shingle):
@@ -184,6 +187,7 @@ def _close(blocks: DataFrame, p: Params, trees: bool) -> DataFrame:
     trees: only as many pairs of each row as join its roots where they can be joined.
     """
 
+    @in_worker("near_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << 16, bool)
         for batch in batches:
@@ -286,6 +290,7 @@ def _repeated(texts: DataFrame) -> bool:
 def _own(texts: DataFrame, p: Params) -> DataFrame:
     """Where a doc_id comes with several texts: those rows whose text has the class's set, one a class."""
 
+    @in_worker("near_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_pylist()

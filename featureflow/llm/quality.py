@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featureflow.llm.common import chunks, materialise, utf8
-from featureflow.llm.wordvec import _byte_values, _separator, _tables, mix, windows, words
+from featureflow.llm.common import chunks, in_worker, materialise, utf8
+from featureflow.llm.wordvec import _separator, mix, run_hashes, windows, words
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATS = 50, 50  # words; percent of words in repeated windows
@@ -90,9 +90,7 @@ def measure(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     has = np.concatenate([[0], np.cumsum(~gap)])
     full = has[inner] > has[begin]
     begin, inner, doc = begin[full], inner[full], doc[full]
-    power, inverse = _tables(len(data))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_byte_values(False)[data] * power[: len(data)], dtype=np.uint64)])
-    h = mix((sums[inner] - sums[begin]) * inverse[begin] + (inner - begin).astype(np.uint64)) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = mix(run_hashes(data, begin, inner) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     _, first = np.unique(h, return_index=True)
     out["n_lines"] = np.bincount(doc, minlength=n)
     out["n_dup_lines"] = out["n_lines"] - np.bincount(doc[first], minlength=n)
@@ -134,6 +132,7 @@ def votes(m: dict[str, np.ndarray], rules: tuple[Rule, ...] = RULES) -> np.ndarr
 def features(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """documents (doc_id, text) -> doc_id, MEASURED (long), pattern (the votes as base-3 digits of a long)."""
 
+    @in_worker("quality")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = utf8(batch.column(1))

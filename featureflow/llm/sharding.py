@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from featureflow.llm.common import in_worker
+
 #: Slices of the hash, whose sizes the driver sees: 16 bytes each.
 SLICES = 1 << 16
 #: Bytes of text in a bucket.
@@ -59,6 +61,7 @@ def shuffled(df: DataFrame, n_shards: int, seed: int, bucket_bytes: int = BUCKET
     fields = df.schema.fields
     place = df.columns.index("doc_id")
 
+    @in_worker("sharding")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId()
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from featureflow.llm.common import in_worker
+
 #: The fields of a record's header line in each version of the ARC format, as published.
 ARC_FIELDS = {
     1: ("url", "ip", "date", "type", "length"),
@@ -120,6 +122,7 @@ def convert_arc(files: DataFrame) -> DataFrame:
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     types = [kinds[f.split()[1]] for f in RECORD.split(", ")]
 
+    @in_worker("warc")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file in batch.column(0):
@@ -134,6 +137,7 @@ def convert_arc(files: DataFrame) -> DataFrame:
 def pages_to_arc(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) -> ARC files (content binary) of both versions by turns."""
 
+    @in_worker("warc")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, str | None, bytes]] = []
         size = n = 0
@@ -238,6 +242,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """WARC files under path -> page_id, payload_bytes, payload_digest, record_type, refers_to, one row a record."""
     names, kinds = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
+    @in_worker("warc")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file in batch.column(0):

@@ -1,7 +1,9 @@
 """Words `[^\\x20\\x09-\\x0D]+` of many texts at once, as 64-bit hashes in numpy arrays.
 
-A word's hash is a polynomial over random 64-bit values of its bytes, taken from prefix sums, so
-that no Python object is made for a word. Separators are ASCII, so bytes split where characters do.
+A run of up to 16 bytes is read as two 64-bit numbers and its length, which are mixed into its hash;
+longer runs, of which a text can't have many, go through xxHash one by one. So equal hashes mean equal
+bytes up to the odds of a good 64-bit hash, for texts of any structure. Separators are ASCII, so
+bytes split where characters do. A text or table without words gives empty arrays.
 """
 
 from __future__ import annotations
@@ -10,17 +12,19 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Bytes of a run that `lanes` holds.
+SHORT = 16
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-@lru_cache(2)
-def _byte_values(lower: bool) -> np.ndarray:
-    values = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
-    if lower:
-        values[65:91] = values[97:123]
-    return values
+@lru_cache(1)
+def _lower() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91] += 32
+    return table
 
 
 @lru_cache(1)
@@ -30,21 +34,6 @@ def _separator() -> np.ndarray:
     return table
 
 
-_powers: list[np.ndarray] = []
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, up to n at least."""
-    if not _powers or len(_powers[0]) < n:
-        size = 1 << max(20, int(n).bit_length())
-        _powers[:] = []
-        for base in (_BASE, pow(_BASE, -1, 2**64)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers.append(np.cumprod(p, dtype=np.uint64))
-    return _powers[0], _powers[1]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values."""
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -52,6 +41,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def lanes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 16 bytes of each run data[start:start + size] as two numbers, 0 beyond its end."""
+    padded = np.zeros(len(data) + SHORT, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    return eight[start] & _MASKS[np.minimum(size, 8)], eight[start + 8 * (size > 8)] & _MASKS[np.clip(size - 8, 0, 8)]
+
+
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each run data[start:end]."""
+    size = end - start
+    low, high = lanes(data, start, size)
+    h = mix(mix(low ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) + high * np.uint64(0xA0761D6478BD642F))
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        raw, one = data.tobytes(), xxhash.xxh3_64_intdigest
+        h[long] = np.fromiter((one(raw[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)), np.uint64, len(long))
+    return h
+
+
 @dataclass
 class Words:
     start: np.ndarray  # byte offset of each word in data
@@ -82,10 +91,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     before[inner] = True
     after[inner - 1] = True
     start, end = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
-    power, inverse = _tables(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_byte_values(lower)[data] * power[:n], out=sums[1:])
-    h = mix((sums[end] - sums[start]) * inverse[start])
+    h = run_hashes(_lower()[data] if lower else data, start, end)
     return Words(start, end, h, np.searchsorted(start, offsets))
 
 

@@ -99,6 +99,42 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 50: 50, 60: 50}
 
 
+def thue_morse(n=1024):
+    """A word and its mirror image, equal under polynomial hashes modulo powers of two."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_structured_words_do_not_collide(spark):
+    import public_tokenizers as P
+
+    from featureflow.llm import bpe
+    from featureflow.llm.near_dedup import near_duplicates
+    from featureflow.llm.quality import assess
+
+    one, two = thue_morse()
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs(spark, [one, two])).collect()} == {0: 0, 1: 1}
+    lines = [f"{one}\n{two}\n{one}", f"{one} {two} x\n{two} {one} x"]
+    assert [r.n_dup_lines for r in assess(docs(spark, lines)).orderBy("doc_id").collect()] == [1, 0]
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    both = bpe.decode(bpe.encode(docs(spark, [f"{one} {two}", two, one]), path), path).collect()
+    assert all(r.decoded == r.text for r in both)
+
+
+def test_equal_pieces_are_told_by_their_bytes(monkeypatch):
+    """With a hash that says nothing at all, groups are still right."""
+    from featureflow.llm import bpe
+
+    monkeypatch.setattr(bpe, "run_hashes", lambda data, start, end: np.zeros(len(start), np.uint64))
+    text = b"".join(w.encode() for w in ["ab", "ab", "abc", "x" * 40, "x" * 39 + "y", "x" * 40, "ab"])
+    size = np.array([2, 2, 3, 40, 40, 40, 2])
+    end = np.cumsum(size)
+    first, back = bpe._equal_pieces(np.frombuffer(text, np.uint8), end - size, end)
+    for i, (a, n) in enumerate(zip(end - size, size, strict=True)):
+        f = first[back[i]]
+        assert text[a : a + n] == text[(end - size)[f] : end[f]]
+
+
 # --- exact top-k -----------------------------------------------------------------------------
 
 
@@ -319,6 +355,25 @@ def test_pipeline_drops_a_language_that_is_not_known(spark, n_languages):
     assert kept == {r[0] for r in rows}
 
 
+def test_language_training_rows_are_bounded(spark):
+    """Repeated doc_ids and rows, one of them a thousand times, aren't multiplied; null texts take no place."""
+    from featureflow.llm import langid
+
+    rng = random.Random(4)
+    make = lambda: " ".join("".join(rng.choices(["the", "ing", "sh"], k=3)) for _ in range(30))
+    rows = [(7, f"{make()} {i % 500}", "en", "s", 0) for i in range(1000)] + [(8, "the same thing", "en", "s", 0)] * 1000 + [(i, None, "de", "s", 0) for i in range(50)] + [(99, "ein text auf deutsch", "de", "s", 0)]
+    df = spark.createDataFrame(rows, DOC)
+    seen = []
+    fit = langid.fit
+    langid.fit = lambda r, p: seen.extend(r) or fit(r, p)
+    try:
+        model = langid.train(df, F.lit(True), langid.Params(per_language=40))
+    finally:
+        langid.fit = fit
+    assert collections.Counter(r[0] for r in seen) == {"en": 40, "de": 1} and model.languages == ["de", "en"]
+    assert langid.train(df, F.lit(True), langid.Params(per_language=40, languages=1)).languages == ["en"]
+
+
 def test_held_out_accuracy(spark):
     from featureflow.llm.queries import op8_language_id
 
