@@ -13,12 +13,14 @@ landmarks of its best language have. Training rows of the language, each without
 landmarks, show what share is usual; `strict` predictions are `und` where a text's share is below a part of that by
 more than chance explains for so few 3-grams. A text of under three bytes has none, and is not judged.
 
-Training texts are a bounded sample: of each language the `per_language` documents with the least
-seeded hash of their doc_id, a count that doesn't depend on the size of the input.
+Training texts are a bounded sample: of each of the `languages` commonest languages the `per_language`
+distinct documents with the least seeded hash of their doc_id, whatever the size of the input.
 
 Cases: null text, or text without a letter, is `und` at score 0; so is everything if nothing can be
-learned. Rows with null lang or null doc_id are not learned from; a null doc_id is not held out.
-Other columns are ignored.
+learned. Rows with null lang, doc_id or text are not learned from; a null doc_id is not held out. Rows
+that repeat in doc_id, lang and text are learned from once, and predicted each. Of languages with equal
+values the first by name is predicted. Texts are read whole at any length. An empty table gives an empty
+one. Other columns are ignored, or kept (`keep`); clashing names then raise ValueError.
 """
 
 from __future__ import annotations
@@ -33,17 +35,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featureflow.llm.common import chunks, utf8
+from featureflow.llm.common import chunks, in_worker, utf8
 
 SIGNS = 1 + 26 + 128  # other ASCII, a-z, bytes above
 LEVELS = 3
-#: Most training rows whose ids are broadcast.
-MOST_IDS = 1_000_000
+#: Times per_language, the distinct ids with the least hashes among which the training texts are sought.
+CANDIDATES = 4
+#: Entries of a batch's matrix of texts and grams.
+MOST_FLAGS = 4 << 20
 
 
 @dataclass(frozen=True)
 class Params:
     per_language: int = 250
+    languages: int = 200  # that are learned, the commonest ones
     landmarks: int = 60  # of each language
     ridge: float = 1e-2
     sharp: float = 6.0  # of the softmax that makes scores of the regressions' values
@@ -79,11 +84,12 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def gram_sets(docs: DataFrame) -> DataFrame:
-    """docs (lang, text) -> lang, grams array<int>, counts array<int>: a text's distinct grams, all levels numbered through, and how often each comes."""
+    """docs (doc_id, lang, text, h) -> doc_id, lang, h, digest (of the text), grams array<int>, counts array<int>: a text's distinct grams, all levels numbered through, and how often each comes."""
 
+    @in_worker("langid")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = utf8(batch.column(1))
+            data, off = utf8(batch.column(3))
             for i in range(len(batch)):
                 part = data[off[i] : off[i + 1]]
                 got, many, base = [], [], 0
@@ -94,9 +100,11 @@ def gram_sets(docs: DataFrame) -> DataFrame:
                     base += SIGNS**n
                 all_ = np.concatenate(got).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(all_)], pa.int32()), pa.array(x)) for x in (all_, np.concatenate(many).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *lists], ["lang", "grams", "counts"])
+                digest = pa.array([hashlib.blake2b(part.tobytes(), digest_size=16).digest()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns[:3]), digest, *lists], ["doc_id", "lang", "h", "digest", "grams", "counts"])
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, grams array<int>, counts array<int>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "lang", "h", "text").mapInArrow(run, f"doc_id {kind}, lang string, h long, digest binary, grams array<int>, counts array<int>")
 
 
 @dataclass
@@ -186,14 +194,20 @@ def remainder(doc_id: Column) -> Column:
 
 def train(documents: DataFrame, learn: Column, p: Params = Params()) -> Model:
     """A model of the rows of documents (doc_id, text, lang) for which `learn` holds."""
-    able = documents.filter(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(p.seed), "doc_id"), "doc_id")
-    ids = able.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= p.per_language)
-    ids = ids.select("doc_id", F.col("lang").alias("_lang"), "_n")
-    ids = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
-    chosen = able.select("doc_id", "lang", "text").filter("text IS NOT NULL").join(ids, "doc_id").filter("lang = _lang")
-    rows = gram_sets(chosen).collect()  # per_language rows of each language, each as large as its gram set at most
-    return fit(_ordered(rows), p)
+    able = documents.filter(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    sizes = able.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("ids"))
+    sizes = sizes.orderBy(F.desc("n"), "lang").limit(p.languages).collect()
+    if not sizes:
+        return fit([], p)
+    # Of each language so many of the least hashes that per_language distinct ids are surely among them.
+    most = {r.lang: int(min(2.0**64, 2.0**64 * CANDIDATES * p.per_language / r.ids)) - 2**63 for r in sizes}
+    limits = F.create_map(*[x for lang, m in most.items() for x in (F.lit(lang), F.lit(min(m, 2**63 - 1)).cast("long"))])
+    rows = able.select("doc_id", "lang", "text", F.xxhash64(F.lit(p.seed), "doc_id").alias("h")).filter(F.col("h") <= F.element_at(limits, F.col("lang")))
+    sets = gram_sets(rows.dropDuplicates(["doc_id", "lang", "text"]))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "digest")
+    chosen = sets.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= p.per_language)
+    # per_language rows of each of at most `languages` languages, each as large as its gram set
+    return fit(_ordered(chosen.select("lang", "grams", "counts").collect()), p)
 
 
 def _ordered(rows: list) -> list[tuple[str, np.ndarray, np.ndarray]]:
@@ -212,6 +226,7 @@ def predict(documents: DataFrame, model: Model, keep: bool = False, strict: bool
     names = [*kept, "lang_pred", "score"]
     schema = T.StructType([*(documents.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
+    @in_worker("langid")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = len(model.grams) + 1
         tables, base = [], 0
@@ -226,7 +241,7 @@ def predict(documents: DataFrame, model: Model, keep: bool = False, strict: bool
         for batch in batches:
             data, off = utf8(batch.column(1))
             known = batch.column(2).to_numpy(zero_copy_only=False)
-            for a, b in chunks(off):
+            for a, b in chunks(off, rows=max(1, MOST_FLAGS // width)):
                 part, o = data[off[a] : off[b]], off[a : b + 1] - off[a]
                 present = np.zeros((b - a) * width, bool)
                 row = np.repeat(np.arange(b - a, dtype=np.int64) * width, np.diff(o))
