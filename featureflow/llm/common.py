@@ -12,10 +12,15 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on: its arrays stay within a core's cache.
 CHUNK_BYTES = 512 * 1024
+#: Most bytes of rows that an operator broadcasts; larger tables are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
+#: Code points of a text that are looked at as one value.
+BLOCK = 4096
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,6 +50,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once: plans that inline columns stay small."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def text_blocks(text: Column) -> Column:
+    """A text in blocks of BLOCK code points, so that a place in it is found without walking there from the start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def part(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points start to end of a text in blocks."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+    some = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+    return F.when(end > start, F.substr(some, (start - first * BLOCK + 1).cast("int"), (end - start).cast("int"))).otherwise("")
+
+
 _kept: dict[str, dict] = {}
 
 

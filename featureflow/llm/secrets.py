@@ -14,19 +14,22 @@ of the reported runs are expected to be words, whatever their lengths.
 Chances are counted in steps of a tenth of a power of ten (a few hundred counts, whatever the
 input), and each step counts as its upper end.
 
-Cases: null text is empty; null doc_ids and repeated rows are rows as any others; an empty table has
-no candidates. Places are code points, ends exclusive. Other columns are kept by `redact` and
-ignored by `scan`.
+Cases: null text is empty (`redact` leaves it null); null doc_ids and repeated rows are rows as any
+others; an empty table has no candidates. Texts are read whole: work grows with length and matches,
+and arrays of single characters are made of a block at a time. Spans that
+start together are ordered by kind, in the order of KINDS, then end. Places are code points, ends
+exclusive. Other columns are kept by `redact`, clashing names raise ValueError; `scan` ignores them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featureflow.llm.common import materialise
+from featureflow.llm.common import let, materialise, part, text_blocks
 
 _ASSIGN_HEAD = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 ASSIGN = _ASSIGN_HEAD + r"[A-Za-z0-9+/_.=-]+"
@@ -34,6 +37,8 @@ ASSIGN = _ASSIGN_HEAD + r"[A-Za-z0-9+/_.=-]+"
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 LEAST_RUN = 20
+#: Values of a scan that are joined one after another.
+GROUP = 256
 RUN = rf"[A-Za-z0-9+/_-]{{{LEAST_RUN},}}"
 SPAN = "array<struct<start:bigint,ord:int,end:bigint>>"
 CANDIDATE = "array<struct<start:bigint,end:bigint,step:int>>"
@@ -50,20 +55,55 @@ class Params:
     most_steps: int = 400
 
 
+def _scan(values: Column, join: Callable[[Column, Column], Column], levels: int = 2) -> Column:
+    """`join` of all values of an array up to each place: in groups, and over the groups' last ones likewise, so that no array grows by appending beyond a group's size."""
+
+    def within(group: Column) -> Column:
+        first = F.slice(group, F.lit(1), F.lit(1))
+        return F.aggregate(F.slice(group, F.lit(2), F.size(group)), first, lambda acc, x: F.array_append(acc, join(F.element_at(acc, -1), x)))
+
+    def over(values: Column, levels: int) -> Column:
+        if not levels:
+            return within(values)
+        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / GROUP).cast("int")), lambda g: within(F.slice(values, g * GROUP + 1, F.lit(GROUP))))
+
+        def joined(groups: Column) -> Column:
+            before = over(F.transform(groups, lambda g: F.element_at(g, -1)), levels - 1)
+            return let(before, lambda b: F.flatten(F.transform(groups, lambda g, i: F.when(i == 0, g).otherwise(F.transform(g, lambda x: join(x, F.get(b, i - 1)))))))
+
+        return let(groups, joined)
+
+    return let(values, lambda v: F.when(F.size(v) > 0, over(v, levels)).otherwise(v))
+
+
 def _found(text: Column, pattern: str) -> Column:
     """Matches from left to right with their places: the text is split by them, and lengths are added up."""
-    parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).cast("long").alias("gap"), hit.alias("hit")))
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,hit:string>>)")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"))).alias("out"))
+    def placed(gaps: Column, hits: Column) -> Column:
+        sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda gap, hit: (F.length(gap) + F.length(hit)).cast("long"))
+        return F.zip_with(_scan(sizes, lambda x, y: x + y), hits, lambda end, hit: F.struct((end - F.length(hit)).alias("start"), end.alias("end"), hit.alias("hit")))
 
-    places = F.aggregate(F.filter(parts, lambda x: x["hit"].isNotNull()), F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    places = let(F.split(text, pattern, -1), lambda gaps: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: placed(gaps, hits)))
     return F.when(text.rlike(pattern), places).otherwise(none)
 
 
+def _replaced(text: Column, spans: Column, by: Callable[[Column, Column], Column]) -> Column:
+    """The text with each of the spans (by start) replaced by by(whether it begins outside of those before it, how much it adds to them)."""
+
+    def pieces(blocks: Column, spans: Column) -> Column:
+        reach = _scan(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y))
+
+        def written(reach: Column) -> Column:
+            before = lambda i: F.when(i > 0, F.get(reach, i - 1)).otherwise(F.lit(0).cast("long"))
+            parts = F.transform(spans, lambda s, i: let(before(i), lambda at: F.concat(part(blocks, at, s["start"]), by(s["start"] >= at, F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], at))))))
+            return F.concat(F.array_join(parts, ""), part(blocks, F.element_at(reach, -1), F.length(text).cast("long")))
+
+        return let(reach, written)
+
+    return F.when(F.size(spans) > 0, let(text_blocks(text), lambda blocks: let(spans, lambda s: pieces(blocks, s)))).otherwise(text)
+
+
 def _spans(found: Column, order: int) -> Column:
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("ord"), x["end"].alias("end")))
 
@@ -105,29 +145,37 @@ def _judged(candidates: Column, p: Params) -> Column:
     """Runs (start, end, hit) with a letter or digit -> start, end and the step of their chance to be words; 0 if they don't pass the battery."""
     number = lambda x: x.cast("double")
     signed = F.filter(candidates, lambda c: c["hit"].rlike("[A-Za-z0-9]"))
-    named = F.transform(signed, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["hit"].alias("hit"), _alphabet(c["hit"]).alias("signs"), F.filter(F.split(c["hit"], ""), lambda s: s != "").alias("chars")))
-    placed = F.transform(
-        named,
-        lambda c: F.struct(
-            c["start"].alias("start"),
-            c["end"].alias("end"),
-            number(F.length(c["hit"])).alias("n"),
-            number(F.length(c["signs"])).alias("m"),
-            F.aggregate(F.array_distinct(c["chars"]), F.lit(0.0), lambda acc, s: acc + F.pow(F.length(c["hit"]) - F.length(F.replace(c["hit"], s, F.lit(""))), F.lit(2.0))).alias("squares"),
-            F.transform(c["chars"], lambda s: number(F.instr(c["signs"], s) - 1) - (F.length(c["signs"]) - 1) / 2).alias("x"),
-        ),
-    )
-    neighbours = lambda c, f: F.aggregate(F.zip_with(F.slice(c["x"], 1, F.size(c["x"]) - 1), F.slice(c["x"], 2, F.size(c["x"]) - 1), f), F.lit(0.0), lambda a, v: a + v)
+    named = F.transform(signed, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["hit"].alias("hit"), _alphabet(c["hit"]).alias("signs")))
+
+    def neighbours(c: Column) -> Column:
+        """Changes of side and products of neighbours, added up over blocks that share one character."""
+        middle = (F.length(c["signs"]) - 1) / 2
+
+        def block(text: Column) -> Column:
+            x = F.transform(F.filter(F.split(text, ""), lambda s: s != ""), lambda s: number(F.instr(c["signs"], s) - 1) - middle)
+
+            def sums(x: Column) -> Column:
+                pairs = F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+                none = F.struct(F.lit(0.0).alias("turns"), F.lit(0.0).alias("serial"))
+                return F.aggregate(pairs, none, lambda acc, p: F.struct((acc["turns"] + F.when((p["a"] > 0) == (p["b"] > 0), 0.0).otherwise(1.0)).alias("turns"), (acc["serial"] + p["a"] * p["b"]).alias("serial")))
+
+            return let(x, sums)
+
+        whole = lambda blocks: F.transform(blocks, lambda b, i: block(F.concat(b, F.coalesce(F.substr(F.get(blocks, i + 1), F.lit(1), F.lit(1)), F.lit("")))))
+        return let(text_blocks(c["hit"]), whole)
+
+    total = lambda sums, name: F.aggregate(sums, F.lit(0.0), lambda acc, x: acc + x[name])
+    squares = lambda c: F.aggregate(F.split(c["signs"], ""), F.lit(0.0), lambda acc, s: acc + F.when(s == "", 0.0).otherwise(F.pow(F.length(c["hit"]) - F.length(F.replace(c["hit"], s, F.lit(""))), F.lit(2.0))))
     counted = F.transform(
-        placed,
+        F.transform(named, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), number(F.length(c["hit"])).alias("n"), number(F.length(c["signs"])).alias("m"), squares(c).alias("squares"), neighbours(c).alias("sums"))),
         lambda c: F.struct(
             c["start"].alias("start"),
             c["end"].alias("end"),
             c["n"].alias("n"),
             c["m"].alias("m"),
             (c["m"] / c["n"] * c["squares"] - c["n"]).alias("chi"),
-            neighbours(c, lambda a, b: F.when((a > 0) == (b > 0), 0.0).otherwise(1.0)).alias("turns"),
-            neighbours(c, lambda a, b: a * b).alias("serial"),
+            total(c["sums"], "turns").alias("turns"),
+            total(c["sums"], "serial").alias("serial"),
         ),
     )
 
@@ -149,32 +197,15 @@ def _judged(candidates: Column, p: Params) -> Column:
     return F.transform(counted, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.when(random(c), step(c)).otherwise(F.lit(0)).alias("step")))
 
 
-def _outside(runs: Column, base: Column) -> Column:
-    """The pieces of runs (start, end, hit) that no span of `base` (by start) covers, if they are long enough."""
-    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,hit:string>>)")
-
-    def pieces(c: Column) -> Column:
-        def piece(a: Column, b: Column) -> Column:
-            hit = F.substr(c["hit"], (a - c["start"] + 1).cast("int"), (b - a).cast("int"))
-            return F.when(b - a >= LEAST_RUN, F.array(F.struct(a.alias("start"), b.alias("end"), hit.alias("hit")))).otherwise(none)
-
-        def step(acc: Column, b: Column) -> Column:
-            return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], piece(acc["at"], b["start"])).alias("out"))
-
-        over = F.filter(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        rest = F.aggregate(over, F.struct(c["start"].alias("at"), none.alias("out")), step, lambda acc: F.concat(acc["out"], piece(acc["at"], c["end"])))
-        return F.when(F.size(over) > 0, rest).otherwise(F.array(c))
-
-    return F.flatten(F.transform(runs, pieces))
-
-
 def spans(documents: DataFrame, p: Params = Params()) -> DataFrame:
     """documents with `base` (spans of the fixed patterns by start, then kind) and `candidates` (runs outside of them)."""
     text = F.coalesce("text", F.lit(""))
     value = lambda hit: F.regexp_replace(hit, "^" + _ASSIGN_HEAD, "")
     df = documents.withColumn("_a", F.filter(_found(text, ASSIGN), lambda x: F.length(value(x["hit"])) >= 6))
     df = df.withColumn("base", F.array_sort(F.concat(_spans(F.col("_a"), 0), _spans(_found(text, ACCESS), 1), _spans(_found(text, HEX), 2))).cast(SPAN)).drop("_a")
-    df = df.withColumn("_r", _outside(_found(text, RUN), F.col("base")))
+    # What fixed patterns leave of runs are the runs of the text with spaces in their place.
+    left = _replaced(text, F.col("base"), lambda _, size: F.repeat(F.lit(" "), size.cast("int")))
+    df = df.withColumn("_t", left).withColumn("_r", _found(F.col("_t"), RUN)).drop("_t")
     return df.withColumn("candidates", F.when(F.size("_r") > 0, _judged(F.col("_r"), p)).otherwise(F.array()).cast(CANDIDATE)).drop("_r")
 
 
@@ -209,16 +240,9 @@ def scan(documents: DataFrame, p: Params = Params()) -> DataFrame:
 
 def redact(documents: DataFrame, mask: str = "[SECRET]", p: Params = Params()) -> DataFrame:
     """documents with every span of `scan` in their texts replaced by `mask`; overlapping spans become one. Other texts stay as they are."""
-    if {"base", "candidates", "_a", "_r", "_s"} & set(documents.columns):
-        raise ValueError("columns named base, candidates, _a, _r or _s are already there")
+    if clash := {"base", "candidates", "_a", "_r", "_s", "_t"} & set(documents.columns):
+        raise ValueError(f"columns {sorted(clash)} are already there")
     found = spans(documents, p)
     least = limit(found.select("candidates"), p)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        joins = (s["start"] < acc["at"])
-        kept = F.substr(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], kept, F.when(joins, "").otherwise(mask)).alias("out"))
-
-    clean = F.aggregate("_s", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"))))
-    return found.withColumn("_s", _all(least)).withColumn("text", F.when(F.size("_s") > 0, clean).otherwise(F.col("text"))).select(*documents.columns)
+    clean = _replaced(F.col("text"), F.col("_s"), lambda apart, _: F.when(apart, mask).otherwise(""))
+    return found.withColumn("_s", _all(least)).withColumn("text", F.when(F.col("text").isNotNull(), clean)).select(*documents.columns)
