@@ -10,20 +10,26 @@ characters in steps, and the presence of words that are telling: of the labelled
 sample chosen by seeded hash of doc_id shows which words are much more likely in one domain than in
 the others. The counts per domain of a sign's values are learned from all labelled rows.
 
-Fit: rates r minimise the squared distance between expected and target totals, measured in the
-totals' own scale (the inverse Gram matrix of the documents whose rate isn't cut at 0), from r = 1.
-A gradient step changes all rates by a linear function of the posterior, and is projected to rates
-of 0 and more; without cuts one step is exact. Steps are repeated until no total is off by more than
-`close`, or `rounds` times.
+Fit: rates r of 0 and more minimise the squared distance between expected and target totals, in the
+metric of the inverse Gram matrix of all posteriors, from r = 1. A gradient step changes all rates by a
+linear function of the posterior, and is projected to rates of 0 and more; without cuts one step is
+exact. With cuts, a longer step in the metric of the documents that aren't cut is tried first, and the
+plain step where that doesn't bring the totals nearer. Steps end when no total is off by more than
+`close`, when none leads nearer (the least-squares optimum) or after `rounds` of them; if the targets
+aren't met then, as those that no rates can meet never are, a warning gives the totals, and the rates
+are those of the nearest totals found.
 
 Cases: null text has no tokens and posteriors from its signs; null labels and labels of unknown ids
 are not learned from; an id with several labels counts with each. A domain that no document belongs
-to can't be met, and is left out. Null doc_ids and repeated rows are rows as any others. An empty
-table gives none. Other columns are kept by `mixed`.
+to can't be met, and is left out; where that is the first, targets are relative to all tokens. Texts
+are read whole at any length. Words that tell equally come by their letters. Null doc_ids and repeated
+rows are rows as any others; rows that agree in doc_id and text are rounded alike. An empty table gives
+none. Other columns are kept by `mixed`, clashing names raise ValueError; `mix` ignores them.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -31,7 +37,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featureflow.llm.common import materialise
+from featureflow.llm.common import drop, let, materialise
 
 #: Domains by their labels: (quality, toxic) of the labelled table.
 DOMAINS = ("clean", "low", "toxic")
@@ -44,8 +50,9 @@ class Params:
     sample: int = 4000  # labelled rows from which telling words are chosen
     words: int = 60  # telling words of each domain at most
     seed: int = 23
-    rounds: int = 12
-    close: float = 1e-4
+    rounds: int = 40  # steps at most
+    close: float = 1e-4  # how far a total may be off, as a share of the largest target
+    enough: float = 0.7  # a step that leaves less than this of the distance is taken without trying a shorter one
 
 
 def domain(quality: Column, toxic: Column) -> Column:
@@ -57,11 +64,6 @@ def _words(text: Column) -> Column:
     return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")
 
 
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), with the value computed once: plans that inline columns stay small."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def _level(value: Column, steps: tuple[float, ...]) -> Column:
     """0 below the first step, 1 from there on, and so on."""
     return F.size(F.filter(F.lit(list(steps)), lambda s: s <= value))
@@ -110,8 +112,8 @@ class Classifier:
                 odds = F.create_map(*[x for w, v in zip(self.telling, self.words[:, k], strict=True) for x in (F.lit(w), F.lit(float(v)))])
                 total = total + _summed("hits", odds)
             logs.append(total)
-        scaled = _let(F.array(*logs), lambda r: F.transform(r, lambda x: F.exp(x - F.array_max(r))))
-        return _let(scaled, lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)))
+        scaled = let(F.array(*logs), lambda r: F.transform(r, lambda x: F.exp(x - F.array_max(r))))
+        return let(scaled, lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)))
 
 
 def telling_words(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> list[str]:
@@ -167,11 +169,19 @@ def _rate(steps: list[np.ndarray]) -> Column:
             rate = F.greatest(F.lit(0.0), rate - sum(F.element_at(post, k + 1) * float(v) for k, v in enumerate(g)))
         return rate
 
-    return _let(F.col("post"), moved)
+    return let(F.col("post"), moved)
+
+
+@dataclass
+class Fit:
+    steps: list[np.ndarray]  # that make the rates
+    totals: np.ndarray  # expected at these rates
+    target: np.ndarray
+    met: bool
 
 
-def fit(weights: DataFrame, p: Params = Params()) -> list[np.ndarray]:
-    """weights (n_tokens, post) -> the gradient steps whose rates meet the targets."""
+def fit(weights: DataFrame, p: Params = Params()) -> Fit:
+    """weights (n_tokens, post) -> the gradient steps whose rates meet the targets, or come as near as `rounds` steps get; a warning says where they don't meet them."""
     k = len(DOMAINS)
     post = [F.element_at("post", i + 1) for i in range(k)]
     tokens = F.col("n_tokens").cast("double")
@@ -186,47 +196,75 @@ def fit(weights: DataFrame, p: Params = Params()) -> list[np.ndarray]:
 
     totals, gram = sums([])
     there = totals > 0
-    if not there[0]:
-        return []
-    target = np.where(there, np.array(p.targets) * totals[0], 0.0)
-    steps: list[np.ndarray] = []
-    for _ in range(p.rounds):
+    if not there.any():
+        return Fit([], totals, totals, True)
+    target = np.where(there, np.array(p.targets) * (totals[0] or totals.sum()), 0.0)
+    # In this metric the gradient of the distance changes no faster than the rates do, so a step of 1 never leads away.
+    metric = np.linalg.pinv(gram, rcond=1e-12)
+
+    def distance(totals: np.ndarray) -> tuple[np.ndarray, float]:
         off = np.where(there, totals - target, 0.0)
-        if np.abs(off).max() <= p.close * target.max():
+        return off, float(off @ metric @ off)
+
+    def met() -> bool:
+        return np.abs(off).max() <= p.close * target.max()
+
+    (off, far), steps = distance(totals), []
+    for _ in range(p.rounds):
+        if met():
             break
-        steps.append(np.linalg.pinv(gram, rcond=1e-12) @ off)
-        totals, gram = sums(steps)
-    return steps
+        best = None
+        # In the scale of the rates that aren't cut, a step is longer; where cuts make it too long, the plain one holds.
+        for step in (np.linalg.pinv(gram, rcond=1e-12) @ off, metric @ off):
+            tried = sums([*steps, step])
+            to = distance(tried[0])[1]
+            if best is None or to < best[0]:
+                best = to, step, tried
+            if to <= p.enough * far:
+                break
+        if best[0] >= far * (1 - 1e-9):
+            break  # a least-squares optimum, as far as sums can tell
+        steps.append(best[1])
+        totals, gram = best[2]
+        off, far = distance(totals)
+    if not met():
+        warnings.warn("targets not met: " + ", ".join(f"{n} {t:.6g} of {w:.6g} tokens" for n, t, w in zip(DOMAINS, totals, target, strict=True)), stacklevel=2)
+    return Fit(steps, totals, target, met())
 
 
 def plan(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[Classifier, list[np.ndarray], DataFrame]:
-    """The classifier, the fitted steps, and the table (doc_id, n_tokens, post) of all documents."""
+    """The classifier, the fitted steps, and the table (doc_id, draw, n_tokens, post) of all documents."""
     telling = telling_words(documents, labels, p)
-    signed = materialise(signs(documents.select("doc_id", "text"), telling).drop("text"), "signs")
+    signed = materialise(signs(documents.select("doc_id", "text"), telling).withColumn("draw", _draw(p.seed)).drop("text"), "signs")
     model = learn(signed, labels, telling)
-    weights = materialise(signed.select("doc_id", "n_tokens", model.posterior().alias("post")), "posteriors")
-    return model, fit(weights, p), weights
+    weights = materialise(signed.select("doc_id", "draw", "n_tokens", model.posterior().alias("post")), "posteriors")
+    drop(signed)
+    return model, fit(weights, p).steps, weights
+
+
+def _draw(seed: int) -> Column:
+    """A number from 0 to 1 by a hash of the doc_id and the text, which decides how a row's rate is rounded."""
+    return F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
 
 
-def _copies(seed: int) -> Column:
-    """The rate rounded up or down by chance, so that its mean is the rate; the chance comes from a hash of the doc_id."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    return F.floor(F.col("rate") + u).cast("int")
+def _copies(draw: Column) -> Column:
+    """The rate rounded up or down by chance, so that its mean is the rate."""
+    return F.floor(F.col("rate") + draw).cast("int")
 
 
 def mix(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     """documents (doc_id, text), labels (doc_id, quality, toxic) -> doc_id, n_tokens, p_ of each domain, rate, copies."""
     _, steps, weights = plan(documents, labels, p)
     out = weights.withColumn("rate", _rate(steps))
-    return out.select("doc_id", "n_tokens", *[F.element_at("post", k + 1).alias(f"p_{name}") for k, name in enumerate(DOMAINS)], "rate", _copies(p.seed).alias("copies"))
+    return out.select("doc_id", "n_tokens", *[F.element_at("post", k + 1).alias(f"p_{name}") for k, name in enumerate(DOMAINS)], "rate", _copies(F.col("draw")).alias("copies"))
 
 
 def mixed(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     """Each of the documents as often as `copies` says, with all its columns."""
-    clash = {"n_tokens", "post", "rate", "copies", "hits", "_w", *STEPS} & set(documents.columns)
+    clash = {"n_tokens", "post", "rate", "copies", "hits", "_w", "draw", *STEPS} & set(documents.columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} are already there")
     model, steps, _ = plan(documents, labels, p)
     rated = signs(documents, model.telling).withColumn("post", model.posterior()).withColumn("rate", _rate(steps))
-    times = materialise(rated.withColumn("copies", _copies(p.seed)).select(*documents.columns, "copies"), "rated").filter("copies > 0")
+    times = materialise(rated.withColumn("copies", _copies(_draw(p.seed))).select(*documents.columns, "copies"), "rated").filter("copies > 0")
     return times.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*documents.columns)
