@@ -17,7 +17,9 @@ Pairs inside a component need no check, since only components are asked for. A p
 
 Cases: null or empty text, or text without words, has an empty set and is linked with nothing.
 A null doc_id takes no part (component_id null, kept true). Repeated rows are copies of each other.
-Other columns are ignored.
+Texts of any length are read whole. Of equal candidates for a centre the least doc_id is taken. A doc_id is an integer
+or a string; others raise TypeError. An empty table gives none. Other columns are ignored, or kept by
+`deduplicate`, which refuses one named _gone.
 """
 
 from __future__ import annotations
@@ -29,15 +31,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featureflow.llm.common import chunks, in_worker, int_list, materialise, utf8
+from featureflow.llm.common import BROADCAST_BYTES, chunks, drop, in_worker, int_list, materialise, utf8
 from featureflow.llm.graph import components
 from featureflow.llm.wordvec import mix, shingle_sets, words
 
-#: Most bytes of class keys that are broadcast; larger sets of candidates are joined by shuffle.
-BROADCAST_BYTES = 64 << 20
 #: Members of a bucket, and hashes of their sets, that one step of the rest compares with as many others.
 BLOCK, BLOCK_HASHES = 2048, 1 << 19
 #: Members of a bucket's first block that are added to its other blocks.
@@ -228,7 +228,10 @@ def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
     placed = materialise(placed, "placed")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_HASHES)).cast("int")
     mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), blocks.alias("n_blocks")).filter("x <> y").select("key", "n_blocks")
-    return materialise(placed.join(mixed, "key").select("key", "n_blocks", "cls", "root"), "open")
+    mixed = materialise(mixed, "mixed")
+    out = materialise(placed.join(mixed, "key").select("key", "n_blocks", "cls", "root"), "open")
+    drop(placed, mixed)
+    return out
 
 
 def _blocks(members: DataFrame, cut: DataFrame) -> DataFrame:
@@ -238,23 +241,39 @@ def _blocks(members: DataFrame, cut: DataFrame) -> DataFrame:
     return materialise(members.join(cut, "cls").groupBy("key", "n_blocks", block.alias("block")).agg(F.collect_list(member).alias("m")), "blocks")
 
 
+def _named(doc_id: Column, cls: Column, kind: str) -> Column:
+    """A class's name: its smallest doc_id so that bytes are in the order of ids, then its key."""
+    if kind == "string":
+        return F.concat(doc_id.cast("binary"), F.unhex(F.lit("00")), cls)
+    return F.concat(F.unhex(F.lpad(F.hex(doc_id.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")), cls)
+
+
+def _id_of(name: Column, kind: str) -> Column:
+    if kind == "string":
+        return F.substring(name, F.lit(1), F.length(name) - 17).cast("string")
+    return F.conv(F.hex(F.substring(name, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63))).cast(kind)
+
+
 def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     """documents (doc_id, text) -> doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id is it), one row a document."""
     docs = documents.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    if kind not in ("string", "bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"doc_id must be an integer or a string, not {kind}")
     drawn = materialise(sketches(docs, p), "sketches")
     able = drawn.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # Columns of a class depend on its set alone, so any row's will do.
-    classes = able.groupBy("cls").agg(F.min("doc_id").alias("low"))
-    one = able.join(classes.select(F.col("low").alias("doc_id"), "cls"), ["doc_id", "cls"], "left_semi").dropDuplicates(["cls"])
-    members = one.select("cls", "n_shingles", F.explode("keys").alias("key"))
-    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("centre")).filter("n > 1").drop("n")
+    classes = materialise(able.groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "classes")
+    one = able.join(classes, ["doc_id", "cls"], "left_semi").dropDuplicates(["cls"])
+    # From here on `cls` is a class's name, so that the least name of a component holds its least doc_id.
+    members = one.select(_named(F.col("doc_id"), F.col("cls"), kind).alias("cls"), "n_shingles", F.explode("keys").alias("key"))
+    # A table of its own, so that the join that follows can split a bucket with many members.
+    buckets = materialise(members.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("centre")).filter("n > 1").drop("n"), "centres")
     shared = materialise(members.join(buckets, "key"), "buckets")
 
     stars = shared.filter("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
-    wanted = materialise(shared.select("cls").distinct().join(classes, "cls"), "wanted")
-    few = wanted.count() * 32 <= BROADCAST_BYTES
-    wanted = wanted.withColumnRenamed("low", "doc_id")
+    wanted = materialise(shared.select("cls").distinct().withColumn("doc_id", _id_of(F.col("cls"), kind)), "wanted")
+    few = wanted.agg(F.count("*") * 24 + F.coalesce(F.sum(F.length("cls") + F.length(F.col("doc_id").cast("string"))), F.lit(0))).first()[0] <= BROADCAST_BYTES
     texts = materialise(docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "cls", "text"), "texts")
     texts = _own(texts, p) if _repeated(texts) else texts.select("cls", "text")
     links = materialise(_verify(stars, texts, p), "links")
@@ -266,18 +285,20 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     whole = grouped.join(some, "key", "left").select(F.when((F.col("block") > 0) & F.col("some").isNotNull(), F.concat("m", "some")).otherwise(F.col("m")).alias("left"))
     trees = _close(whole.select("left", F.when(F.lit(False), F.col("left")).alias("right")), p, trees=True).distinct()
     links = materialise(links.unionByName(_verify(trees, texts, p)), "links")
+    drop(grouped, open_)
 
     roots = materialise(components(links), "roots")
-    grouped = _blocks(_open(shared, roots), cut)
+    open_ = _open(shared, roots)
+    grouped = _blocks(open_, cut)
     left = grouped.withColumn("to", F.explode(F.sequence("block", F.col("n_blocks") - 1)))
     right = grouped.select("key", F.col("block").alias("to"), F.col("m").alias("right"))
     rest = _close(left.join(right, ["key", "to"]).select(F.col("m").alias("left"), F.when(F.col("block") != F.col("to"), F.col("right")).alias("right")), p, trees=False).distinct()
     more = materialise(_verify(rest, texts, p), "links")
+    drop(grouped, open_, cut, texts, shared, buckets, wanted)
     if not more.isEmpty():
         roots = materialise(components(links.unionByName(more)), "roots")
-    named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "low", F.coalesce("root", "cls").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = named.join(lowest, "root").select("cls", "component_id")
+    named = classes.withColumn("node", _named(F.col("doc_id"), F.col("cls"), kind)).join(roots, "node", "left")
+    ids = named.select("cls", _id_of(F.coalesce("root", "node"), kind).alias("component_id"))
     found = drawn.select("doc_id", "n_shingles", "cls").join(ids, "cls", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).cast(kind)
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -294,7 +315,7 @@ def _own(texts: DataFrame, p: Params) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            good = [i for a, b, sets in _sets(batch.column(1), p.shingle) for i in range(a, b) if digest(sets[i - a]) == keys[i]]
+            good = [i for a, b, sets in _sets(batch.column(1), p.shingle) for i in range(a, b) if digest(sets[i - a]) == keys[i][-16:]]
             yield batch.take(pa.array(good, pa.int64()))
 
     return materialise(texts.select("cls", "text").mapInArrow(run, "cls binary, text string").dropDuplicates(["cls"]), "texts")
@@ -305,6 +326,9 @@ def deduplicate(documents: DataFrame, p: Params = Params()) -> DataFrame:
 
     A repeated row, having the same doc_id, stays repeated: `kept` is a property of the doc_id.
     """
+    if "_gone" in documents.columns:
+        raise ValueError("a column named _gone is already there")
     gone = materialise(near_duplicates(documents, p).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() * 32 <= BROADCAST_BYTES else gone
+    size = gone.agg(F.coalesce(F.sum(F.length(F.col("_gone").cast("string")) + 24), F.lit(0))).first()[0]
+    gone = F.broadcast(gone) if size <= BROADCAST_BYTES else gone
     return documents.join(gone, documents["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
