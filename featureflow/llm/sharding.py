@@ -4,13 +4,15 @@ Pass 1 scatters the records uniformly into buckets that fit in memory, by a seed
 shuffles each bucket with Fisher-Yates and writes it. The buckets one after another are a uniformly
 random order of all records, which is cut into shards whose record counts differ by one at most.
 
-Before that, a count over the hash's slices gives each bucket's size, so that each fits and knows
-the place of its first record. Bucket and place depend on the records and the seed alone, not on
-how the input is partitioned, so a lost task is repeated with the same result.
+Before that, the sum of sizes says how many buckets there are, and a count of each gives the place of
+its first record. Bucket and place depend on the records and the seed alone, not on how the input is
+partitioned, so a lost task is repeated with the same result.
 
 Cases: null text counts as no bytes; null doc_ids and repeated rows are records as any others. The
-hash takes doc_id and text, so copies under different ids are spread; only rows that agree in both
-share a bucket. Other columns are carried along; names `shard` and `slot` are refused.
+hash takes all columns, so copies under different ids are spread; only rows that agree in all columns
+share a bucket, and any of them may have any of their places. A text above a bucket's size makes its
+bucket as large. Columns are types that can be hashed, which maps can't. An empty table gives none. Other
+columns are carried along; names `shard`, `slot`, `_h` and `_b` are refused.
 """
 
 from __future__ import annotations
@@ -21,41 +23,34 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featureflow.llm.common import in_worker
 
-#: Slices of the hash, whose sizes the driver sees: 16 bytes each.
-SLICES = 1 << 16
-#: Bytes of text in a bucket.
+#: Bytes of text in a bucket, on average half of it.
 BUCKET_BYTES = 24 << 20
 
 
-def _hash(df: DataFrame, seed: int):
-    return F.xxhash64(F.lit(seed), *[F.col(c) for c in ("doc_id", "text") if c in df.columns])
+def _hash(df: DataFrame, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])
 
 
 def shuffled(df: DataFrame, n_shards: int, seed: int, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """df (doc_id, text, ...) with `shard` int and `slot` long (gapless from 0 in each shard) added."""
-    if {"shard", "slot"} & set(df.columns):
-        raise ValueError("columns named shard or slot are already there")
-    slice_ = F.shiftrightunsigned(_hash(df, seed), 48).cast("int")
-    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 64
-    sizes = df.groupBy(slice_.alias("s")).agg(F.count("*").alias("n"), F.sum(size).alias("b")).collect()  # at most SLICES rows
-    rows, weight = np.zeros(SLICES, np.int64), np.zeros(SLICES, np.int64)
-    for s, n, b in sizes:
-        rows[s], weight[s] = n, b
-    # Slices that follow each other fill a bucket until the next one would burst it.
-    bucket, fill, b = np.zeros(SLICES, np.int64), 0, 0
-    for s in range(SLICES):
-        if fill and fill + weight[s] > bucket_bytes:
-            b, fill = b + 1, 0
-        bucket[s], fill = b, fill + int(weight[s])
-    n_buckets, total = b + 1, int(rows.sum())
-    first = np.concatenate([[0], np.cumsum(np.bincount(bucket, rows, n_buckets).astype(np.int64))])
-    ends = np.searchsorted(bucket, np.arange(n_buckets), "right")  # slices below ends[b] go to buckets up to b
+    if clash := {"shard", "slot", "_h", "_b"} & set(df.columns):
+        raise ValueError(f"columns {sorted(clash)} are already there")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64
+    n_bytes = df.agg(F.sum(size)).first()[0] or 0
+    n_buckets = max(1, -(-2 * n_bytes // bucket_bytes))
+    # Equal ranges of the hash, without a search: the upper 32 bits times the count, shifted back.
+    bucket = F.shiftright(F.shiftrightunsigned("_h", 32) * F.lit(n_buckets), 32).cast("int")
+    dealt = df.withColumn("_h", _hash(df, seed)).withColumn("_b", bucket)
+    rows = np.zeros(n_buckets, np.int64)
+    for b, n in dealt.groupBy("_b").count().collect():  # a row a bucket, so 1 in many thousand bytes of input
+        rows[b] = n
+    total, first = int(rows.sum()), np.concatenate([[0], np.cumsum(rows)])
     base, more = divmod(total, n_shards)
     shard_start = np.arange(n_shards + 1) * base + np.minimum(np.arange(n_shards + 1), more)
     fields = df.schema.fields
@@ -80,12 +75,8 @@ def shuffled(df: DataFrame, n_shards: int, seed: int, bucket_bytes: int = BUCKET
             part = part.append_column("shard", pa.array(s, pa.int32())).append_column("slot", pa.array(r - shard_start[s], pa.int64()))
             yield from part.to_batches()
 
-    # _b comes from a search in the buckets' last slices; the literal has one int a bucket.
-    limits = F.lit(ends[:-1].tolist()) if n_buckets > 1 else F.array().cast("array<bigint>")
-    dealt = df.withColumn("_h", _hash(df, seed)).withColumn("_b", F.size(F.filter(limits, lambda e: e <= F.shiftrightunsigned("_h", 48))).cast("int"))
-    dealt = dealt.repartitionById(n_buckets, F.col("_b"))
     schema = T.StructType([*fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    return dealt.mapInArrow(run, schema)
+    return dealt.repartitionById(n_buckets, F.col("_b")).mapInArrow(run, schema)
 
 
 def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
