@@ -10,7 +10,8 @@ WARC files are written by Spark's text writer, whose commit leaves no parts of l
 column may hold any bytes, and the line separator is the end of a record. They are read back whole,
 as a stream through the decompressor, by declared lengths.
 
-Cases: null html is an empty payload; a null url becomes "-", white space in a url is percent-coded.
+Cases: an empty table gives an archive without records. Texts of any length are one payload, and a
+worker holds one ARC file of pages at a time. Null html is an empty payload; a null url becomes "-", white space in a url is percent-coded.
 A null page_id has no page header and is read back as null; it never becomes the response that
 others refer to. Rows that repeat the largest page_id are responses all. Other columns are ignored.
 An archive that breaks off, or whose digest doesn't match, raises ValueError.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featureflow.llm.common import in_worker
+from featureflow.llm.common import BROADCAST_BYTES, drop, in_worker, materialise
 
 #: The fields of a record's header line in each version of the ARC format, as published.
 ARC_FIELDS = {
@@ -39,6 +40,8 @@ ARC_FIELDS = {
 ARC_BYTES = 4 << 20
 #: Payloads from this size on are replaced by revisits where they repeat.
 LEAST = 1000
+#: Bytes of records in one WARC file before compression, and of a record's headers; bytes of a broadcast original.
+WARC_BYTES, HEADER_BYTES, ORIGINAL_BYTES = 256 << 20, 600, 128
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -91,19 +94,19 @@ def read_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def warc_date(arc_date: str) -> str:
-    """ARC's digits, which may leave out the time or its seconds, as WARC writes it."""
-    d = arc_date[:4].ljust(4, "0") + arc_date[4:8].ljust(4, "0").replace("00", "01") if len(arc_date) < 8 else arc_date[:8]
+    """ARC's digits, which may leave out the time or its seconds, or the day and month, as WARC writes it."""
+    year, month, day = arc_date[:4].ljust(4, "0"), arc_date[4:6].ljust(2, "0"), arc_date[6:8].ljust(2, "0")
     t = arc_date[8:14].ljust(6, "0")
-    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{t[:2]}:{t[2:4]}:{t[4:6]}Z"
+    return f"{year}-{'01' if month == '00' else month}-{'01' if day == '00' else day}T{t[:2]}:{t[2:4]}:{t[4:6]}Z"
 
 
 RECORD = "page_id long, uri string, date string, ip string, kind string, content_type string, head binary, payload binary, payload_bytes long, payload_digest string, block_digest string"
 
 
-def convert_record(line: dict[str, str], content: bytes) -> tuple:
-    """RECORD's values for a record of an ARC file."""
+def convert_record(line: dict[str, str], content: bytes, first: bool = False) -> tuple:
+    """RECORD's values for a record of an ARC file; the first one is its version block."""
     page = None
-    if line["url"].startswith("filedesc:"):
+    if first:
         kind, type_, head, payload = "warcinfo", "application/warc-fields", b"", content
     elif line["url"].startswith(("http:", "https:")) or content.startswith(b"HTTP/"):
         head, gap, payload = content.partition(b"\r\n\r\n")
@@ -126,8 +129,7 @@ def convert_arc(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file in batch.column(0):
-                rows = [convert_record(*r) for r in read_arc(file.as_py())]
-                rows = [r for r in rows if r[4] != "warcinfo"]
+                rows = [convert_record(*r) for n, r in enumerate(read_arc(file.as_py())) if n]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
@@ -162,8 +164,15 @@ def originals(payloads: DataFrame) -> DataFrame:
 
 
 def with_revisits(records: DataFrame, first: DataFrame) -> DataFrame:
-    """records with refers_to: the page_id of the response that stands for the payload, null where the record is that itself."""
-    joined = records.join(first, "payload_digest", "left")
+    """records with refers_to: the page_id of the response that stands for the payload, null where the record is that itself.
+
+    Where the originals take few bytes they are broadcast, and payloads stay where they are; beyond that
+    records are dealt by digest, small ones, which need no original, by their place.
+    """
+    few = first.count() * ORIGINAL_BYTES <= BROADCAST_BYTES
+    key = F.when(F.col("payload_bytes") >= LEAST, F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "uri").cast("string")))
+    first = first.withColumnRenamed("payload_digest", "_key")
+    joined = records.withColumn("_key", key).join(F.broadcast(first) if few else first, "_key", "left").drop("_key")
     return joined.withColumn("refers_to", F.when((F.col("payload_bytes") >= LEAST) & ~F.col("page_id").eqNullSafe(F.col("original")), F.col("original"))).drop("original")
 
 
@@ -204,9 +213,10 @@ def _record() -> Column:
     return F.concat(F.concat(F.lit("WARC/1.1\r\n"), *lines, eol).cast("binary"), block, eol.cast("binary")).cast("string")
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """records (RECORD and refers_to) as gzip-compressed WARC files under path."""
-    records.select(_record().alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", 20_000).text(path)
+def write_warc(records: DataFrame, path: str, mean_bytes: float) -> None:
+    """records (RECORD and refers_to), whose payloads have `mean_bytes` on average, as gzip-compressed WARC files of about WARC_BYTES under path."""
+    most = max(1, int(WARC_BYTES / (mean_bytes + HEADER_BYTES)))
+    records.select(_record().alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def _parse(stream: io.BufferedReader) -> Iterator[tuple]:
@@ -258,5 +268,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def archive_pages(pages: DataFrame, path: str) -> None:
     """pages (page_id, url, html) through ARC files into WARC files with revisits under path."""
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    first = originals(pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(html).alias("payload_bytes"), F.sha1(html).alias("payload_digest")))
-    write_warc(with_revisits(convert_arc(pages_to_arc(pages)), first), path)
+    payloads = pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(html).alias("payload_bytes"), F.sha1(html).alias("payload_digest"))
+    first = materialise(originals(payloads), "originals")
+    mean = pages.agg(F.avg(F.octet_length(html))).first()[0] or 0.0
+    write_warc(with_revisits(convert_arc(pages_to_arc(pages)), first), path, mean)
+    drop(first)
