@@ -23,6 +23,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from featureflow.llm.common import part, text_blocks
+
 #: Signs of the template and what stands for them inside texts; the escape sign first.
 ESCAPES = (("\\", "\\0"), ("<", "\\1"), (">", "\\2"), ("[", "\\3"), ("]", "\\4"))
 OPEN, CLOSE = "<s>", "</s>"
@@ -85,12 +87,13 @@ def parse(formatted: DataFrame) -> DataFrame:
 
 
 def digests(formatted: DataFrame, examples: DataFrame) -> DataFrame:
-    """What a reader of the output gets back: per conversation its turns, and all text under the loss mask in order."""
+    """What a reader of the output gets back: per conversation its turns, and all text under the loss mask, cut out of the rendering, in order."""
     turns = parse(formatted)
     line = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     turns = turns.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(line, 256).alias("turns_sha256"), "formatted_chars")
-    loss = examples.groupBy(F.col("conv_id").alias("_conv")).agg(F.sort_array(F.collect_list(F.struct("n", "reply"))).alias("replies"))
-    loss = loss.select("_conv", F.array_join(F.transform("replies", lambda r: unescape(r["reply"])), "").alias("loss"))
+    masks = examples.groupBy(F.col("conv_id").alias("_conv")).agg(F.sort_array(F.collect_list(F.struct("loss_start", "loss_chars"))).alias("masks"))
+    cut = formatted.join(masks, F.col("conv_id").eqNullSafe(F.col("_conv"))).select("_conv", "masks", text_blocks(F.col("formatted")).alias("blocks"))
+    loss = cut.select("_conv", F.array_join(F.transform("masks", lambda m: unescape(part(F.col("blocks"), m["loss_start"], m["loss_start"] + m["loss_chars"]))), "").alias("loss"))
     loss = loss.select("_conv", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"))
     both = turns.join(loss, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
     return both.select("conv_id", "n_turns", "turns_sha256", F.coalesce("loss_chars", F.lit(0)).alias("loss_chars"), F.coalesce("loss_sha256", F.sha2(F.lit(""), 256)).alias("loss_sha256"), "formatted_chars")
