@@ -75,6 +75,12 @@ def test_near_duplicates_of_odd_tables(spark):
     got = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in near_duplicates(odd).collect())
     assert got == [(-1, -1, True), (3, 3, True), (5, 3, False), (5, 3, False), (5, 5, True)]
     assert deduplicate(odd).columns == odd.columns
+    words = spark.createDataFrame([("b", "p q r s"), ("aa", "p q r s"), ("a", "x y z"), ("ü", "X Y Z"), ("", "p q r s t u v w")], "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(words).collect()} == {"b": "aa", "aa": "aa", "a": "a", "ü": "a", "": ""}
+    signed = spark.createDataFrame([(3, "p q r s"), (-4, "p q r s"), (-(2**63), "x y z"), (0, "X y z")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(signed).collect()} == {3: -4, -4: -4, -(2**63): -(2**63), 0: -(2**63)}
+    with pytest.raises(TypeError):
+        near_duplicates(spark.createDataFrame([(1.5, "a")], "doc_id double, text string"))
 
 
 def test_hot_group_whose_centre_is_an_outlier(spark):
@@ -95,8 +101,9 @@ def test_components_of_a_chain(spark):
     from featureflow.llm.graph import components
 
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (None, 3), (60, 50), (60, 50)], "a long, b long")
-    got = {r.node: r.root for r in components(links).collect()}
-    assert got == {**{i: 0 for i in range(41)}, 50: 50, 60: 50}
+    for few_links in (50_000, 0):
+        got = {r.node: r.root for r in components(links, few_links).collect()}
+        assert got == {**{i: 0 for i in range(41)}, 50: 50, 60: 50}
 
 
 def thue_morse(n=1024):
@@ -183,6 +190,27 @@ def test_shards_are_even_gapless_and_repeatable(spark):
         shuffled(df.withColumn("slot", F.lit(1)), 24, 7)
 
 
+def test_shards_against_a_walk_through_the_buckets(spark):
+    """The shards' records one after another are the buckets' records, each in Fisher-Yates order; a text above a bucket, and rows that differ in other columns only."""
+    from featureflow.llm.sharding import _hash, fisher_yates, shuffled
+
+    rows = [(i, f"text {i % 9}", i % 3) for i in range(200)] + [(7, "x" * 30000, 0), (None, None, 1)] + [(5, "twice", k) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rank int")
+    got = sorted((r.shard, r.slot, r.doc_id, r.text, r.rank) for r in shuffled(df, 5, 3, bucket_bytes=4000).collect())
+    n_bytes = sum(len(t or "") + 64 for _, t, _ in rows)
+    n = -(-2 * n_bytes // 4000)
+    buckets = collections.defaultdict(list)
+    for r in df.withColumn("h", _hash(df, 3)).collect():
+        buckets[((r.h % 2**64) >> 32) * n >> 32].append((r.h, r.doc_id or 0, r.doc_id, r.text, r.rank))
+    order = []
+    for b in sorted(buckets):
+        one = sorted(buckets[b], key=lambda x: x[:2])
+        order += [one[k][2:] for k in fisher_yates(len(one), 3, b)]
+    assert len(buckets) > 10 and [x[2:] for x in got] == order
+    sizes = collections.Counter(x[0] for x in got)
+    assert sorted(sizes.values()) == sorted((len(rows) + k) // 5 for k in range(5))
+
+
 def test_fisher_yates_is_uniform():
     from featureflow.llm.sharding import fisher_yates
 
@@ -316,6 +344,9 @@ def test_arc_versions_and_broken_archives():
     assert line["url"] == "http://h/with space" and content == b"ok" and warc_date(line["date"]) == "1996-01-02T00:00:00Z"
     with pytest.raises(ValueError):
         list(read_arc(b"filedesc://y 0 0 t 4\n9 0 \n"))
+    assert [warc_date(d)[:10] for d in ("199610", "1996", "19961000", "19960010", "20001231235959")] == ["1996-10-01", "1996-01-01", "1996-10-01", "1996-01-10", "2000-12-31"]
+    odd = list(read_arc(write_arc("x.arc", 1, [(3, "filedesc://other", b"page")])))
+    assert convert_record(*odd[0], first=True)[4] == "warcinfo" and convert_record(*odd[1])[4] == "response" and convert_record(*odd[1])[0] == 3
     assert page_of_urn("<urn:uuid:ffffffff-ffff-8000-8000-ffff00000000>") == -1
 
 
@@ -448,6 +479,9 @@ def test_chat_reads_back(spark):
         assert (r.n_turns, r.loss_chars) == (len(turns), len(loss))
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
         assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    wrong = examples.withColumn("loss_start", F.col("loss_start") - 1)
+    right = {r.conv_id: r.loss_sha256 for r in digests(formatted, examples).collect()}
+    assert all(r.loss_sha256 != right[r.conv_id] for r in digests(formatted, wrong).collect() if r.loss_chars)
     whole = {r.conv_id: r.formatted for r in formatted.collect()}
     n = 0
     for e in texts(formatted, examples).collect():
@@ -493,6 +527,45 @@ def test_mixing_meets_its_targets(spark):
         mixed(df.withColumn("rate", F.lit(1)), lab)
 
 
+def nnls(a, b, rounds=20000):
+    """min |a r - b|, r >= 0, by accelerated projected gradient: the brute force of few rows."""
+    step = 1 / np.linalg.norm(a, 2) ** 2
+    r = y = np.ones(a.shape[1])
+    t = 1.0
+    for _ in range(rounds):
+        new = np.maximum(0, y - step * a.T @ (a @ y - b))
+        s = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        y, r, t = new + (t - 1) / s * (new - r), new, s
+    return np.linalg.norm(a @ r - b)
+
+
+@pytest.mark.parametrize("alpha, targets, can", [(0.15, (1.0, 0.3, 0.02), True), (0.15, (1.0, 0.02, 0.02), True), (0.3, (0.2, 1.5, 0.2), True), (2.0, (0.1, 1.0, 0.1), False), (0.05, (1.0, 0.0, 0.0), False)])
+def test_fit_comes_as_near_as_brute_force(spark, alpha, targets, can):
+    """Targets that cut rates to 0, and targets that no rates meet."""
+    import warnings
+
+    from featureflow.llm.mixing import Params, _rate, fit
+
+    rng = np.random.default_rng(5)
+    post = rng.dirichlet([alpha] * 3, 300)
+    tokens = rng.integers(1, 500, 300)
+    rows = spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(tokens, post, strict=True)], "n_tokens long, post array<double>").cache()
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        got = fit(rows, Params(targets=targets, close=0.002))
+    rates = np.array([r.r for r in rows.select(_rate(got.steps).alias("r")).collect()])
+    totals = (rates * tokens) @ post
+    assert (rates >= 0).all() and (rates == 0).any()
+    assert totals == pytest.approx(got.totals, rel=1e-9)
+    assert got.met == (np.abs(totals - got.target).max() <= 0.002 * got.target.max()) and got.met != any("not met" in str(w.message) for w in said)
+    assert got.met or not can
+    metric = np.linalg.cholesky(np.linalg.inv((post * tokens[:, None]).T @ post)).T
+    weight = np.sqrt(tokens)
+    best = nnls(metric @ (post * weight[:, None]).T, metric @ got.target)
+    start = np.linalg.norm(metric @ (tokens @ post - got.target))
+    assert np.linalg.norm(metric @ (totals - got.target)) <= best + 0.1 * start
+
+
 # --- pipeline --------------------------------------------------------------------------------
 
 
