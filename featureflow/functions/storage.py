@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Most bytes of a table that is broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where it is unset, a local master gets a folder of its own; a cluster has none that could be guessed."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="featureflow-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -20,3 +27,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, system = _file_system(spark, path)
+    return system.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, system = _file_system(spark, path)
+    system.delete(at, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables of `written` that nothing will read any more."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            remove(table.sparkSession, folder)

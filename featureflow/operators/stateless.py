@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featureflow.functions.text import bucket, tokens
+from featureflow.functions.vectors import dense, histogram
 from featureflow.operators.base import Encoder
 
 
@@ -81,7 +82,4 @@ class HashVectorizer(Encoder):
 
     def encode(self, df: DataFrame, x: Column) -> tuple[DataFrame, Column]:
         hashed = F.transform(tokens(F.coalesce(x, F.lit(""))), lambda t: bucket(t, self.n, self.how))
-        count = lambda i: F.size(F.filter(hashed, lambda h: h == i)).cast("double")
-        if self.binary:
-            count = lambda i: F.array_contains(hashed, i).cast("double")
-        return df, F.transform(F.sequence(F.lit(0), F.lit(self.n - 1)), count)
+        return df, dense(histogram(hashed), self.n, self.binary)

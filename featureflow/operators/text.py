@@ -1,43 +1,51 @@
-"""Token counts and TF-IDF: vectors for small vocabularies, (row, position, value) tables for any."""
+"""Token counts and TF-IDF: dense vectors for small vocabularies, sparse ones and (row, position, value) tables for any."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featureflow.functions.capacity import capacity
-from featureflow.functions.numeric import round_to
+from featureflow.functions.storage import written
 from featureflow.functions.text import tokens
+from featureflow.functions.vectors import SPARSE, dense, histogram, is_sparse, looked_up
 from featureflow.operators.base import Encoder, NotFittedError
-from featureflow.operators.categorical import BROADCAST, vocabulary
+from featureflow.operators.categorical import small, vocabulary
 
-#: Vocabulary up to which vectors are made; beyond it they would mostly be zeros.
+#: Vocabulary up to which vectors are dense; beyond it they would mostly be zeros, and are sparse.
 DENSE = 1000
 
 
 class CountVectorizer(Encoder):
-    """How often (or whether) each token of the vocabulary is in a text; as wide as the vocabulary's capacity. Unknown tokens are ignored."""
+    """How often (or whether) each token of the vocabulary is in a text; as wide as the vocabulary's capacity. Unknown tokens are ignored.
+
+    Vectors are array<double> for vocabularies of up to DENSE tokens, and struct<size, indices, values>
+    beyond. Null text gives zeros.
+    """
 
     numbers_values = True
+    #: Set where the width is kept by someone else, who may have shrunk it.
+    kept_width: int | None = None
 
     def __init__(self, binary: bool = False):
         self.binary = binary
         self.values: DataFrame | None = None
-        self.n = 0
+        self.n, self.broadcast = 0, True
 
     def accepts(self, kind: T.DataType) -> None:
         if not isinstance(kind, T.StringType):
             raise TypeError("CountVectorizer needs text")
 
     def learn_values(self, values: DataFrame) -> None:
-        self.values, self.n = vocabulary(values.select(F.explode(tokens(F.col("value"))).alias("value")))
+        self.take(*vocabulary(values.select(F.explode(tokens(F.col("value"))).alias("value"))))
+
+    def take(self, values: DataFrame, n: int) -> None:
+        self.values, self.n, self.broadcast = values, n, small(values)
 
     @property
     def width(self) -> int:
-        return capacity(self.n)
+        return self.kept_width or capacity(self.n)
 
     def _table(self) -> DataFrame:
         if self.values is None:
@@ -45,28 +53,27 @@ class CountVectorizer(Encoder):
         return self.values
 
     def encode(self, df: DataFrame, x: Column) -> tuple[DataFrame, Column]:
-        table = self._table()
-        if self.n > DENSE:
-            raise ValueError(f"{self.n} tokens are too many for vectors; use table()")
-        pairs = [F.lit(v) for r in table.collect() for v in (r.value, r.pos)]  # DENSE rows at most
-        known = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,int>")
-        at = F.filter(F.transform(tokens(F.coalesce(x, F.lit(""))), lambda t: known[t]), lambda p: p.isNotNull())
-        count = lambda i: F.size(F.filter(at, lambda p: p == i)).cast("double")
-        if self.binary:
-            count = lambda i: F.array_contains(at, i).cast("double")
-        return df, F.transform(F.sequence(F.lit(0), F.lit(self.width - 1)), count)
+        table, words = self._table(), tokens(F.coalesce(x, F.lit("")))
+        if self.n <= DENSE:
+            pairs = [F.lit(v) for r in table.collect() for v in (r.value, r.pos)]  # DENSE rows at most
+            known = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,int>")
+            at = F.filter(F.transform(words, lambda t: known[t]), lambda p: p.isNotNull())
+            return df, dense(histogram(at), self.width, self.binary)
+        df, found = looked_up(df, histogram(words), table.select("value", F.col("pos").alias("to")), self.broadcast)
+        value = (lambda p: F.lit(1.0)) if self.binary else (lambda p: p["n"])
+        return df, F.struct(F.lit(self.width).alias("size"), F.transform(found, lambda p: p["to"]).alias("indices"), F.transform(found, value).alias("values")).cast(SPARSE)
 
     def table(self, df: DataFrame, row_id: str, column: str) -> DataFrame:
         """(row_id, pos, value) of the values that aren't 0, for vocabularies of any size."""
         found = token_counts(df, row_id, column)
         words = self._table()
-        words = F.broadcast(words) if self.n <= BROADCAST else words
+        words = F.broadcast(words) if self.broadcast else words
         value = F.lit(1.0) if self.binary else F.col("n").cast("double")
         return found.join(words, found["token"] == words["value"]).select(row_id, "pos", value.alias("value"))
 
 
 def token_counts(df: DataFrame, row_id: str, column: str) -> DataFrame:
-    """(row_id, token, n): counts of each row's tokens."""
+    """(row_id, token, n): counts of each row's tokens; rows with equal ids are counted together."""
     return df.select(row_id, F.explode(tokens(F.col(column))).alias("token")).groupBy(row_id, "token").agg(F.count("*").alias("n"))
 
 
@@ -75,48 +82,82 @@ def weight(n: float, count: Column) -> Column:
     return F.when(count > 0, F.log(F.lit(float(n)) / count)).otherwise(F.lit(0.0))
 
 
+def rounded(count: Column, digits: int | None) -> Column:
+    """A count as a multiple of 10^digits, cut to an integer."""
+    if digits is None:
+        return count
+    factor = 10.0**digits
+    return (F.round(count / F.lit(factor)) * F.lit(factor)).cast("long")
+
+
 def tfidf_table(df: DataFrame, row_id: str, column: str, df_mode: str = "absent", rounding: int | None = None) -> DataFrame:
     """(row_id, token, value) of the rows' tokens: count times ln(N / a), a being the rows that lack the token.
 
-    df_mode "present" divides by the rows that have it instead, as textbooks do. One pass over the
-    tokens gives counts and document frequencies; N counts all rows, those without text too.
+    df_mode "present" divides by the rows that have it instead, as textbooks do. Texts are taken apart
+    once: their counts are written, and give the document frequencies too. N counts all rows, those
+    without text too.
     """
     if df_mode not in ("absent", "present"):
         raise ValueError("df_mode is absent or present")
-    counts = token_counts(df, row_id, column)
+    counts = written(token_counts(df, row_id, column), "counts")
     n = df.count()
-    have = counts.groupBy("token").agg(F.count("*").alias("have"))
+    have = written(counts.groupBy(F.col("token").alias("value")).agg(F.count("*").alias("have")), "frequencies")
     base = F.lit(n) - F.col("have") if df_mode == "absent" else F.col("have")
-    if rounding is not None:
-        factor = 10.0**rounding
-        base = (F.round(base / F.lit(factor)) * F.lit(factor)).cast("long")
-    weights = have.select("token", weight(n, base).alias("w"))
-    return counts.join(weights, "token").select(row_id, "token", (F.col("n") * F.col("w")).alias("value"))
+    weights = have.select("value", weight(n, rounded(base, rounding)).alias("w"))
+    weights = F.broadcast(weights) if small(have) else weights
+    return counts.join(weights, counts["token"] == weights["value"]).select(row_id, "token", (F.col("n") * F.col("w")).alias("value"))
 
 
 class TfidfTransformer(Encoder):
-    """On count vectors: each count times ln(N / rows where it is 0); 0 where the count is, or where no row lacks the token."""
+    """On count vectors, dense or sparse: each count times ln(N / rows where it is 0); 0 where the count is, or where no row lacks the token."""
 
     numbers_values = True
 
     def __init__(self, rounding: int | None = None):
         self.rounding = rounding
-        self.weights: list[float] | None = None
+        self.weights: DataFrame | None = None  # (value, to, w): position twice, and its weight
+        self.broadcast = True
 
     def accepts(self, kind: T.DataType) -> None:
-        if not isinstance(kind, T.ArrayType):
+        if not isinstance(kind, T.ArrayType) and not is_sparse(kind):
             raise TypeError("TfidfTransformer needs vectors")
 
     def learn_values(self, values: DataFrame) -> None:
-        absent = F.sum((F.abs(F.col("v")) < 1e-10).cast("long"))
-        found = values.filter("value IS NOT NULL").select(F.posexplode("value").alias("pos", "v")).groupBy("pos").agg(absent.alias("a"), F.count("*").alias("n")).orderBy("pos").collect()  # one row a position
-        n = max((r.n for r in found), default=0)
-        rounded = [int(round_to(float(r.a), self.rounding)) for r in found]
-        self.weights = [math.log(n / a) if a > 0 else 0.0 for a in rounded]
+        self.take(written(present(values.withColumn("diff", F.lit(1))), "present"), values.filter("value IS NOT NULL").count())
+
+    def take(self, have: DataFrame, n: int) -> None:
+        """have (pos, have): how many of n rows have something at a position; positions that are missing have nothing."""
+        table = have.select(F.col("pos").alias("value"), F.col("pos").alias("to"), weight(n, rounded(F.lit(n) - F.col("have"), self.rounding)).alias("w"))
+        self.weights, self.broadcast = table, small(table)
 
     def encode(self, df: DataFrame, x: Column) -> tuple[DataFrame, Column]:
         if self.weights is None:
             raise NotFittedError("TfidfTransformer")
-        weights = F.lit(self.weights) if self.weights else F.array().cast("array<double>")
-        return df, F.zip_with(x, weights, lambda v, w: F.when(v == 0, F.lit(0.0)).otherwise(v * w))
-
+        kind = df.select(x.alias("x")).schema["x"].dataType
+        if isinstance(kind, T.ArrayType):
+            found = {r.to: r.w for r in self.weights.collect()}  # as many rows as the vector is wide
+            weights = F.lit([found.get(i, 0.0) for i in range(max(found) + 1)]) if found else F.array().cast("array<double>")
+            return df, F.transform(x, lambda v, i: F.when(v == 0, F.lit(0.0)).otherwise(v * F.coalesce(F.get(weights, i), F.lit(0.0))))
+        pairs = F.zip_with(x["indices"], x["values"], lambda i, v: F.struct(i.alias("k"), F.struct(v.alias("v"), x["size"].alias("size")).alias("n")))
+        size = x["size"]
+        df = df.withColumn(name := _free(df, "_size"), size)
+        df, found = looked_up(df, pairs, self.weights.select("value", F.struct("to", "w").alias("to")), self.broadcast)
+        values = F.transform(found, lambda p: F.when(p["n"]["v"] == 0, F.lit(0.0)).otherwise(p["n"]["v"] * p["to"]["w"]))
+        return df, F.struct(F.col(name).alias("size"), F.transform(found, lambda p: p["to"]["to"]).alias("indices"), values.alias("values")).cast(SPARSE)
+
+
+def _free(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def present(values: DataFrame) -> DataFrame:
+    """values (value: vectors, diff) -> (pos, have): by position, the sum of diff of the rows that have something there."""
+    kind = values.schema["value"].dataType
+    rows = values.filter("value IS NOT NULL")
+    if is_sparse(kind):
+        apart = rows.select("diff", F.inline(F.arrays_zip("value.indices", "value.values")).alias("pos", "v"))
+    else:
+        apart = rows.select("diff", F.posexplode("value").alias("pos", "v"))
+    return apart.filter(F.abs(F.col("v")) >= 1e-10).groupBy("pos").agg(F.sum("diff").cast("long").alias("have"))

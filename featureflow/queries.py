@@ -5,18 +5,18 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from featureflow.functions.capacity import capacity
-from featureflow.functions.storage import shared_dir
+from featureflow.functions.storage import shared_dir, written
 from featureflow.operators.categorical import OneHotEncoder, OrdinalEncoder
 from featureflow.operators.scalers import KBinsDiscretizer, MinMaxScaler, StandardScaler
 from featureflow.operators.stateless import FunctionEncoder, HashVectorizer, Passthrough, PolynomialFeatures
 from featureflow.operators.text import CountVectorizer, TfidfTransformer, tfidf_table
 from featureflow.plans import ready
 from featureflow.plans.compose import MultiColumnEncoder, Pipeline, auto_encoder
-from featureflow.sources.readers import modulo_rows, parse_number, typed
+from featureflow.sources.readers import modulo_rows, parse_number, random_texts, typed, watch
 from featureflow.streaming.incremental import IncrementalEncoder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -300,18 +300,28 @@ def synthetic_three_numbers(spark: SparkSession, d: str) -> DataFrame:
 _EPOCH = "event_id % 4"
 
 
+def _changes(inc: IncrementalEncoder, parts: list[DataFrame], last: bool = False) -> DataFrame:
+    """All that the epochs put out, or the last one only."""
+    outputs = [written(inc.process(e, part), "output") for e, part in enumerate(parts)]
+    out = outputs[-1] if last else outputs[0]
+    for o in () if last else outputs[1:]:
+        out = out.unionByName(o)
+    return out
+
+
+def _state_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
+
+
 def _incremental(spark: SparkSession, d: str, retract: bool, last: bool = False) -> DataFrame:
     """The sum of all changes put out over epochs of the events, of which some are taken back in the last; last: only what the last epoch puts out."""
     df = table(spark, d, "events", "event_id", "event_type", "value")
     config = [("value", StandardScaler()), ("value", MinMaxScaler()), ("value", KBinsDiscretizer(4))]
-    inc = IncrementalEncoder(spark, config, "event_id long, event_type string, value double", f"{shared_dir(spark)}/state-{uuid.uuid4().hex}")
-    outputs = [inc.process(e, df.filter(f"{_EPOCH} = {e}").withColumn("diff", F.lit(1))) for e in range(4)]
+    inc = IncrementalEncoder(spark, config, "event_id long, event_type string, value double", _state_path(spark))
+    parts = [df.filter(f"{_EPOCH} = {e}").withColumn("diff", F.lit(1)) for e in range(4)]
     if retract:
-        outputs.append(inc.process(4, df.filter("event_id % 7 = 0").withColumn("diff", F.lit(-1))))
-    outputs = outputs[-1:] if last else outputs
-    out = outputs[0]
-    for o in outputs[1:]:
-        out = out.unionByName(o)
+        parts.append(df.filter("event_id % 7 = 0").withColumn("diff", F.lit(-1)))
+    out = _changes(inc, parts, last)
     summed = out.groupBy("event_id", "event_type", "value", "e1", "e2", six("e0").alias("z")).agg(F.sum("diff").alias("n")).filter("n <> 0")
     return summed.select("event_id", "z", F.round("e1", 9).alias("s"), F.col("e2").alias("bin"), "n")
 
@@ -340,3 +350,100 @@ SELECT event_id, z, s, bin, sum(n)::BIGINT AS n FROM ({_incremental_sql("true")}
 def incremental_delta(spark: SparkSession, d: str) -> DataFrame:
     """What the last epoch changes in the encoded rows."""
     return _incremental(spark, d, False, last=True)
+
+
+@query("SELECT event_id, round((value - m) / v, 4) + 0.0 AS z, 1::BIGINT AS n FROM events, (SELECT avg(value) AS m, var_pop(value) AS v FROM events WHERE event_id % 7 <> 0) WHERE event_id % 7 <> 0")
+def incremental_offset(spark: SparkSession, d: str) -> DataFrame:
+    """Values far from 0, some of which are taken back: their variance isn't lost in their squares."""
+    df = table(spark, d, "events", "event_id", "value").withColumn("value", F.col("value") + 1e9)
+    inc = IncrementalEncoder(spark, [("value", StandardScaler())], "event_id long, value double", _state_path(spark))
+    parts = [df.filter(f"event_id % 3 = {e}").withColumn("diff", F.lit(1)) for e in range(3)]
+    out = _changes(inc, [*parts, df.filter("event_id % 7 = 0").withColumn("diff", F.lit(-1))])
+    summed = out.groupBy("event_id", F.round("e0", 4).alias("z")).agg(F.sum("diff").alias("n")).filter("n <> 0")
+    return summed.select("event_id", (F.col("z") + 0.0).alias("z"), "n")
+
+
+@query(
+    f"""WITH RECURSIVE c AS (SELECT count(DISTINCT p_brand) FILTER (p_brand < 'Brand#3') AS live, {_width_sql("SELECT count(DISTINCT p_brand) FROM part")} AS w FROM part),
+    r AS (SELECT live, w::INT AS w FROM c UNION ALL SELECT live, ceil(0.66::DOUBLE * w)::INT FROM r WHERE live < floor(0.66::DOUBLE * w))
+    SELECT p_partkey, (SELECT min(w) FROM r) AS width, 1.0::DOUBLE AS hot, count(*) OVER (PARTITION BY p_brand) AS of_place, count(*) OVER (PARTITION BY p_brand) AS of_value FROM part WHERE p_brand < 'Brand#3'"""
+)
+def incremental_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """A vocabulary that grows over epochs, and shrinks when most of its values go: each live value has a place of its own."""
+    df = table(spark, d, "part", "p_partkey", "p_brand")
+    inc = IncrementalEncoder(spark, [("p_brand", OneHotEncoder()), ("p_brand", OrdinalEncoder())], "p_partkey long, p_brand string", _state_path(spark))
+    parts = [df.filter("p_brand < 'Brand#2' AND p_partkey % 2 = 0"), df.filter("p_brand >= 'Brand#4'"), df.filter("p_brand >= 'Brand#2' AND p_brand < 'Brand#4' OR p_brand < 'Brand#2' AND p_partkey % 2 <> 0")]
+    out = _changes(inc, [*[p.withColumn("diff", F.lit(1)) for p in parts], df.filter("p_brand >= 'Brand#3'").withColumn("diff", F.lit(-1))])
+    live = out.groupBy("p_partkey", "p_brand", "e0", "e1").agg(F.sum("diff").alias("n")).filter("n <> 0")
+    place = (F.array_position("e0", 1.0) - 1).cast("int")
+    counted = lambda key: F.count("*").over(Window.partitionBy(key))
+    return live.select("p_partkey", F.size("e0").alias("width"), F.element_at("e0", F.col("e1").cast("int") + 1).alias("hot"), counted(place).alias("of_place"), counted(F.col("p_brand")).alias("of_value"))
+
+
+_NAMES = "(SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' extra' || (p_partkey % 5) ELSE p_name END AS t FROM part WHERE p_partkey % 7 <> 0)"
+
+
+@query(
+    f"""WITH k AS (SELECT p_partkey, t, count(*) AS n FROM (SELECT p_partkey, unnest({_tokens("t")}) AS t FROM {_NAMES}) GROUP BY ALL), c AS (SELECT count(*) AS nn FROM {_NAMES}),
+    w AS (SELECT t, CASE WHEN nn > count(*) THEN ln(nn / (nn - count(*))) ELSE 0 END AS w FROM k, c GROUP BY t, nn)
+    SELECT p_partkey, round(n * w, 6) + 0.0 AS value, n::DOUBLE AS count, 1::BIGINT AS n FROM k JOIN w USING (t) WHERE w <> 0"""
+)
+def incremental_text(spark: SparkSession, d: str) -> DataFrame:
+    """Token counts and TF-IDF over epochs, of which the second brings new words and the third takes rows away: what isn't 0 in the rows' vectors."""
+    df = table(spark, d, "part", "p_partkey", "p_name")
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" extra"), (F.col("p_partkey") % 5).cast("string"))).otherwise(F.col("p_name"))
+    df = df.select("p_partkey", name.alias("t"))
+    inc = IncrementalEncoder(spark, [("t", Pipeline([CountVectorizer(), TfidfTransformer()])), ("t", CountVectorizer())], "p_partkey long, t string", _state_path(spark))
+    parts = [df.filter("p_partkey % 3 <> 0").withColumn("diff", F.lit(1)), df.filter("p_partkey % 3 = 0").withColumn("diff", F.lit(1)), df.filter("p_partkey % 7 = 0").withColumn("diff", F.lit(-1))]
+    out = _changes(inc, parts)
+    live = out.groupBy("p_partkey", F.transform("e0", six).alias("e0"), "e1").agg(F.sum("diff").alias("n")).filter("n <> 0")
+    return live.select("p_partkey", F.inline(F.arrays_zip("e0", "e1")).alias("value", "count"), "n").filter("value <> 0")
+
+
+@query(
+    """WITH live AS (SELECT event_id, value FROM events WHERE event_id % 7 <> 0),
+    b AS (SELECT event_id, least(trunc((value - lo) / (hi - lo) * 5.0), 4.0) AS five, least(trunc((value - lo) / (hi - lo) * 3.0), 2.0) AS three FROM live, (SELECT min(value) AS lo, max(value) AS hi FROM live))
+    SELECT event_id, count(*) OVER (PARTITION BY five) AS in_bin_of_five, count(*) OVER (PARTITION BY three) AS in_bin_of_three, 1.0::DOUBLE AS hot FROM b"""
+)
+def incremental_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Pipelines of two and three stages over epochs: places of bins may be any, so rows show how many share theirs."""
+    df = table(spark, d, "events", "event_id", "value")
+    config = [("value", Pipeline([KBinsDiscretizer(5), OrdinalEncoder()])), ("value", Pipeline([MinMaxScaler(), Pipeline([KBinsDiscretizer(3), OneHotEncoder()])]))]
+    inc = IncrementalEncoder(spark, config, "event_id long, value double", _state_path(spark))
+    parts = [df.filter("event_id % 2 = 0 AND value < 50").withColumn("diff", F.lit(1)), df.filter("NOT (event_id % 2 = 0 AND value < 50)").withColumn("diff", F.lit(1)), df.filter("event_id % 7 = 0").withColumn("diff", F.lit(-1))]
+    live = _changes(inc, parts).groupBy("event_id", "e0", "e1").agg(F.sum("diff").alias("n")).filter("n <> 0")
+    counted = lambda key: F.count("*").over(Window.partitionBy(key))
+    return live.select("event_id", counted("e0").alias("in_bin_of_five"), counted(F.array_position("e1", 1.0)).alias("in_bin_of_three"), F.aggregate("e1", F.lit(0.0), lambda a, x: a + x).alias("hot"))
+
+
+@query(f"{_idf_sql('documents', 'doc_id', 'text', ABSENT.format('documents')).replace('t AS token', 'pos::INT AS pos').replace('JOIN w USING (t)', 'JOIN w USING (t) JOIN voc USING (t)')}")
+def tfidf_sparse(spark: SparkSession, d: str) -> DataFrame:
+    """Counting and TF-IDF as a pipeline, over a vocabulary that is too large for dense vectors."""
+    df = table(spark, d, "documents", "doc_id", "text")
+    out = ready.text_pipeline().fit(df, "text").transform(df, "text", "v")
+    return out.select("doc_id", F.inline(F.arrays_zip("v.indices", "v.values")).alias("pos", "value")).withColumn("value", six("value"))
+
+
+@query("SELECT p_partkey, [x, x * x, x * x * x]::DOUBLE[] AS v FROM (SELECT p_partkey, p_size::DOUBLE AS x FROM part UNION ALL SELECT p_partkey, p_size FROM part WHERE p_partkey = 7)")
+def polynomial_ready(spark: SparkSession, d: str) -> DataFrame:
+    """Powers 1 to 3, with a row that is there twice."""
+    df = table(spark, d, "part", "p_partkey", "p_size")
+    df = df.unionByName(df.filter("p_partkey = 7"))
+    return ready.polynomial("p_size").fit(df).transform(df, ["p_partkey"], "v")
+
+
+@query(f"{_counts_sql('part', 'p_partkey', 'p_name')}, w AS (SELECT t, CASE WHEN a > 0 THEN ln(nn / a) ELSE 0 END AS w FROM (SELECT t, (SELECT count(*) FROM part) AS nn, (round(((SELECT count(*) FROM part) - count(*)) / 0.01) * 0.01)::BIGINT AS a FROM k GROUP BY t)) SELECT p_partkey, pos::INT AS pos, round(n * w, 6) + 0.0 AS value FROM k JOIN w USING (t) JOIN voc USING (t) WHERE w <> 0")
+def text_features(spark: SparkSession, d: str) -> DataFrame:
+    """The ready-made text pipeline, whose rounding to hundredths leaves counts as they are."""
+    df = table(spark, d, "part", "p_partkey", "p_name")
+    out = ready.text_features("p_name").fit(df).transform(df, ["p_partkey"], "v")
+    return long_form(out, "p_partkey").withColumn("value", six("value")).filter("value <> 0")
+
+
+@query("SELECT i AS row_id, true AS words_fit, true AS known FROM range(500) t(i)")
+def random_texts_watched(spark: SparkSession, d: str) -> DataFrame:
+    """Random texts, watched on their way: five to ten words each, all of them from the list."""
+    words = ["one", "two", "three", "four"]
+    df = watch(random_texts(spark, 500, words, seed=3), "texts")
+    parts = F.split("text", " ")
+    return df.select("row_id", F.size(parts).between(5, 10).alias("words_fit"), (F.size(F.array_except(parts, F.lit(words))) == 0).alias("known"))
