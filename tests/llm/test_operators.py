@@ -275,6 +275,77 @@ def test_secrets_beside_fixed_patterns_and_of_one_kind_of_character(spark):
     assert not any("random" in found[i] for i in range(27, len(rows)))
 
 
+def brute_battery(texts, p):
+    """Spans with the random ones, by the definitions of the three tests, the chance of words and Benjamini-Hochberg."""
+    import math
+
+    d, lo, up = string.digits, string.ascii_lowercase, string.ascii_uppercase
+    alphabets = [d, d + "-_", d + "+/", d + "abcdef", d + "ABCDEF", lo, up, lo + "-_", up + "-_", lo + "+/", up + "+/", up + "234567", d + lo, d + up, up + lo, up + lo + d, up + lo + d + "+/", up + lo + d + "-_", up + lo + d + "+/-_"]
+    candidates = []
+    for k, text in enumerate(texts):
+        cut = list(text or "")
+        for s in filter(None, brute_spans(text).split(",")):
+            a, b = map(int, s.split(":")[1:])
+            cut[a:b] = " " * (b - a)
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", "".join(cut)):
+            run = m[0]
+            if not re.search("[A-Za-z0-9]", run):
+                continue
+            signs = next(a for a in alphabets if set(run) <= set(a))
+            n, size = len(run), len(signs)
+            counts = collections.Counter(run)
+            expected = n / size
+            chi = sum((counts[s] - expected) ** 2 / expected for s in signs)
+            x = [signs.index(c) - (size - 1) / 2 for c in run]
+            turns = sum((a > 0) != (b > 0) for a, b in itertools.pairwise(x))
+            serial = sum(a * b for a, b in itertools.pairwise(x))
+            z = [(chi - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n), abs(turns - (n - 1) / 2) / (math.sqrt(n - 1) / 2), abs(serial) / ((size * size - 1) / 12 * math.sqrt(n - 1))]
+            step = 0
+            if max(z) < p.least_z:
+                rate = p.hex_coincidence if size == 16 else p.digit_coincidence if size < 16 else p.coincidence
+                shift = n * (size * rate - 1)
+                far = (size - 1 + shift - chi) / math.sqrt(2 * (size - 1 + 2 * shift))
+                chance = 1.0 if far <= 0 else 0.5 * math.erfc(min(far, 30) / math.sqrt(2))
+                step = min(math.floor(-10 * math.log10(chance)), p.most_steps)
+            candidates.append((k, *m.span(), step))
+    steps = [c[3] for c in candidates]
+    good = [s for s in set(steps) if 10 ** (-s / 10) * len(steps) <= p.false_share * sum(x >= s for x in steps)]
+    least = min(good, default=p.most_steps + 1)
+    order = {"assign": 0, "access": 1, "hex": 2, "random": 3}
+    out = []
+    for k, text in enumerate(texts):
+        spans = [s.split(":") for s in brute_spans(text).split(",") if s] + [["random", a, b] for i, a, b, s in candidates if i == k and s >= least]
+        out.append(",".join(f"{x}:{a}:{b}" for x, a, b in sorted(spans, key=lambda s: (int(s[1]), order[s[0]], int(s[2])))))
+    return out
+
+
+def test_battery_matches_brute_force_and_finds_planted_tokens(spark):
+    """Raw base64, base32 and alphanumeric tokens without a keyword among long words, paths and numbers; texts longer than a block."""
+    from featureflow.llm.secrets import Params, scan
+
+    rng = random.Random(12)
+    draw = lambda signs, n: "".join(rng.choices(signs, k=n))
+    both = string.ascii_letters + string.digits
+    syllables = ["the", "ing", "tion", "an", "er", "re", "on", "at", "en", "sch", "ung"]
+    word = lambda n: "".join(rng.choices(syllables, k=n))
+    texts, planted = [], {}
+    for i in range(150):
+        parts = [word(rng.randrange(1, 12)) for _ in range(20)] + ["/".join(word(2) for _ in range(5)), f"20240{rng.randrange(10**16)}"[:22], "-" * 30, "password=abcdefg", "AKIA" + draw(string.ascii_uppercase, 16) + draw(both, 30)]
+        if i % 3 == 0:
+            planted[i] = draw([both + "+/", string.ascii_uppercase + "234567", both][i // 3 % 3], rng.randrange(40, 80))
+            parts.insert(rng.randrange(20), planted[i])
+        texts.append(" ".join(parts))
+    texts += [draw(both, 9000), "é😀" * 5000 + " " + draw(both, 60), word(3000), None, ""]
+    got = [r.spans for r in scan(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == brute_battery(texts, Params())
+    found = {(i, texts[i][int(a) : int(b)]) for i, s in enumerate(got) for k, a, b in (x.split(":") for x in s.split(",") if x) if k == "random"}
+    real = set(planted.items()) | {(i, texts[i].split()[-1][-n:]) for i in range(150) for n in (30,)}
+    caught = sum(any(i == j and v in s for j, s in found) for i, v in planted.items())
+    assert caught >= 0.9 * len(planted)
+    false = [f for f in found if f[0] < 150 and not any(f[0] == i and (f[1] in v or v in f[1] or f[1][-25:] in v) for i, v in real)]
+    assert len(false) <= 0.05 * len(found)
+
+
 # --- quality ---------------------------------------------------------------------------------
 
 
@@ -310,6 +381,21 @@ def test_votes_of_several_rules_condemn(spark):
     assert by[1, 1, 1, 1] > 0.95 and by[0, 0, 1, 1] < 0.1
 
 
+def test_posteriors_are_those_of_an_estimate_over_documents(spark):
+    """Counting documents by pattern gives what expectation-maximisation over each document gives."""
+    from featureflow.llm.quality import RULES, assess, digits, estimate, features
+
+    rng = random.Random(11)
+    texts = [prose(rng, rng.randrange(20, 200)) for _ in range(60)] + ["BUY NOW!!! " * rng.randrange(20, 60) for _ in range(15)] + ["# $ % & " * 40, ""]
+    df = docs(spark, texts)
+    rows = {r.doc_id: r.pattern for r in features(df).collect()}
+    votes = digits(np.array([rows[i] for i in range(len(texts))]), len(RULES))
+    _, want = estimate(votes, np.ones(len(texts)))
+    for r in assess(df).collect():
+        assert r.p_good == pytest.approx(want[r.doc_id], abs=1e-6)
+        assert r.kept == (not r.base_failed and r.p_good >= 0.5)
+
+
 # --- WARC ------------------------------------------------------------------------------------
 
 
@@ -386,6 +472,37 @@ def test_pipeline_drops_a_language_that_is_not_known(spark, n_languages):
     assert kept == {r[0] for r in rows}
 
 
+def test_scores_are_those_of_the_kernel_matrix():
+    """One weight a gram gives the values of kernel ridge regression on Nystroem's features, from the kernel's definition on sets."""
+    from featureflow.llm.langid import SIGNS, Params, _grams, fit
+
+    rng = random.Random(3)
+    parts = {"a": ["the", "ing", "sh"], "b": ["ción", "que", "os"], "c": ["eau", "ou", "ment"]}
+    texts = [(lang, " ".join("".join(rng.choices(p, k=3)) for _ in range(8))) for lang, p in parts.items() for _ in range(9)]
+
+    def sets(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return [{int(c) for c in code if c >= 0} for code in _grams(data, np.array([0, len(data)]))]
+
+    rows, base = [], [0, SIGNS, SIGNS + SIGNS**2]
+    for lang, text in texts:
+        numbers = np.array(sorted(base[n] + c for n, s in enumerate(sets(text)) for c in s), np.int32)
+        rows.append((lang, numbers, np.ones(len(numbers), np.int32)))
+    p = Params(landmarks=5)
+    model = fit(rows, p)
+    marks = [i for lang in parts for i in [j for j, (x, _) in enumerate(texts) if x == lang][:5]]
+    known = [set().union(*(sets(texts[i][1])[n] for i in marks)) for n in range(3)]
+    cut = [[s & k for s, k in zip(sets(text), known, strict=True)] for _, text in texts]
+    kernel = np.array([[sum(len(a & b) / np.sqrt(max(len(a), 1) * max(len(b), 1)) for a, b in zip(x, cut[j], strict=True)) / 3 for j in marks] for x in cut])
+    target = np.array([[lang == other for other in parts] for lang, _ in texts], float)
+    weight = np.ones((len(texts), 1))  # languages have equal numbers of rows
+    ridge = p.ridge * len(texts) / len(marks)
+    value = kernel @ np.linalg.pinv(kernel.T @ (weight * kernel) + ridge * kernel[marks], rcond=1e-13) @ kernel.T @ (weight * target)
+    e = np.exp(p.sharp * value)
+    present = np.array([np.isin(model.grams, g) for _, g, _ in rows])
+    assert model.scores(present) == pytest.approx(e / e.sum(1, keepdims=True), abs=1e-3)
+
+
 def test_language_training_rows_are_bounded(spark):
     """Repeated doc_ids and rows, one of them a thousand times, aren't multiplied; null texts take no place."""
     from featureflow.llm import langid
@@ -569,6 +686,24 @@ def test_fit_comes_as_near_as_brute_force(spark, alpha, targets, can):
 # --- pipeline --------------------------------------------------------------------------------
 
 
+def test_stages_on_odd_tables(spark):
+    """Empty tables, null texts and ids, repeated rows, and columns besides those of documents."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    some = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    odd = some.unionByName(some.limit(3)).unionByName(spark.createDataFrame([(None, "some words here", "en", "s", 15), (10**6, None, "en", "s", None), (10**6 + 1, "", None, None, 0)], DOC).select(some.columns))
+    odd = odd.withColumn("place", F.lit(1)).withColumn("kept", F.lit("k"))
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, odd.limit(0), sf)
+        assert empty.count() == 0, name
+        out = stage(spark, odd, sf)
+        ids = collections.Counter(r.doc_id for r in out.select("doc_id").collect())
+        assert set(ids) <= {r.doc_id for r in odd.select("doc_id").collect()} and ids, name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == odd.columns, name
+
+
 def brute_kept(rows, size, percent):
     """doc_ids that stay: the smallest of each group linked by shingles of `size` words."""
     sets = {}
