@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featureflow.functions.capacity import resized
-from featureflow.functions.storage import exists, remove, written
+from featureflow.functions.storage import drop, exists, remove, written
 from featureflow.functions.text import tokens
 from featureflow.operators.base import Encoder
 from featureflow.operators.categorical import Numbering, OneHotEncoder, numbered
@@ -216,6 +216,7 @@ class IncrementalEncoder:
         moved = written(both.filter("(had <= 0) <> (has <= 0)").select("value", (F.col("has") > 0).alias("new")), "moved")
         n_new, n_gone = (moved.agg(F.count_if("new"), F.count_if(~F.col("new"))).first())
         if not n_new and not n_gone:
+            drop(moved)
             return State(stats, log, state.places)
         n = stats["n"] + n_new - n_gone
         width = resized(n, stats["width"])
@@ -241,6 +242,7 @@ class IncrementalEncoder:
         if n_gone and not shrinks:
             leaving = f"{at}/leaving"
             self.spark.read.parquet(state.places).join(moved.filter("NOT new"), "value", "left_semi").write.mode("overwrite").parquet(leaving)
+        drop(moved)
         if state.places:
             obsolete.append(state.places)
         return State({"n": n, "width": width, "version": stats["version"] + shrinks, "gaps": gaps}, log, f"{at}/places", leaving)
