@@ -4,12 +4,16 @@ Encoding. A rank file gives each token's bytes and rank; of two neighbours, thos
 bytes have the least rank merge first. A sequence of tokens is what these merges make of its bytes
 exactly if each pair of neighbours is what they make of that pair's bytes. So after each byte the
 last token is unique: it is the token that ends there and goes with the last token where it starts.
-The transducer's state holds the places where a token that is still being read may have started,
-each with the tokens since all of them agreed; what they agree on is emitted. A token being read
-is at most as long as the longest token, which bounds the lookahead. States and transitions are
-made when first met and dropped together when there are too many.
+A state holds the starts of tokens that may still be being read: each one's node in a trie of the tokens,
+and the token before it, as long as it matters to which of the node's tokens may follow. A transition
+gives the next state and the token that ends with its byte. Where a token starts is where the one before
+it ends, so the tokens on the way to a place are found from there backwards; the ways to all starts of a
+state part only within the last few tokens, and what they have in common is emitted. A token being read
+is at most as long as the longest token, which bounds the lookahead. States and transitions are made when
+first met and dropped together when there are too many.
 
-Texts are split by the public GPT-2 pattern in numpy, equal pieces of a block are encoded once.
+Texts are split by the public GPT-2 pattern in numpy, equal pieces of a block are encoded once, and short
+pieces are read in step: one byte of each at a time, with the transitions in an array of hash slots.
 
 Decoding joins the tokens' bytes; a state machine over UTF-8 holds back a character until its last
 byte has come, so that ids can be decoded as a stream.
@@ -27,7 +31,6 @@ import base64
 import hashlib
 import unicodedata
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +40,22 @@ from pyspark.sql import types as T
 from featureflow.llm.common import chunks, in_worker, utf8, worker_tables
 from featureflow.llm.wordvec import SHORT, lanes, run_hashes
 
-#: Most transducer states, transitions, judged pairs of tokens, and pieces remembered with their ids, in a worker: some 250 MB.
-MOST_STATES, MOST_STEPS, MOST_PAIRS, MOST_PIECES = 110_000, 220_000, 150_000, 160_000
+#: Most transducer states, transitions and judged pairs of tokens in a worker: some 100 MB. Those of one slice of pieces may come on top.
+MOST_STATES, MOST_STEPS, MOST_PAIRS = 110_000, 220_000, 150_000
+#: Longest piece that is read in step with others, and bytes of such pieces between looks at the limits.
+SHORT_PIECE, SLICE_BYTES = 64, 1 << 17
+#: Slots of the array of transitions (a power of two), and the multiplier that spreads keys over them.
+SLOTS, SPREAD = 1 << 19, np.uint64(0x9E3779B97F4A7C15)
 #: Characters of Unicode's White_Space property.
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
+#: A start is a trie node << ID_BITS | its last token + 1, or 0 at the beginning of a piece.
+ID_BITS = 24
+LAST = (1 << ID_BITS) - 1
+#: Tokens below a trie node up to which they are looked at one by one before a start is kept.
+FEW = 64
+#: Bytes of a piece after which what is agreed on is emitted.
+EMIT = 1024
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -67,23 +81,37 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes = {i: b for b, i in ranks.items()}
+        self.size = {i: len(b) for b, i in ranks.items()}
+        self.sizes = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
+        self.sizes[list(self.size)] = list(self.size.values())
+        self.whole: dict[bytes, int] = {}  # tokens that merges don't make
         self.halves: dict[int, tuple[int, int]] = {}
         # A trie of the tokens that merges make of their own bytes; others can only stand for a whole piece.
         self.child: dict[int, int] = {}
-        self.token, self.inner = [-1], [True]
+        self.token, self.inner, self.depth = [-1], [True], [0]
         proper = True
         for b, i in ranks.items():
             if len(b) > 1:
                 two = merge(ranks, b, 2)
                 if len(two) != 2 or merge(ranks, b) != [i]:
+                    self.whole[b] = i
                     continue
                 self.halves[i] = two[0], two[1]
                 proper &= all(h < i for h in two if h in self.halves or len(self.bytes[h]) > 1)
             self._add(b, i)
+        # The tokens below a node, where they are few: a start that none of them can complete is given up.
+        self.below: list[tuple[int, ...]] = [()] * len(self.token)
+        above = {to: key >> 8 for key, to in self.child.items()}
+        many = [False] * len(self.token)
+        for node in range(len(self.token) - 1, 0, -1):  # children have higher numbers
+            up, mine = above[node], self.below[node] + ((self.token[node],) if self.token[node] >= 0 else ())
+            if many[node] or len(self.below[up]) + len(mine) > FEW:
+                many[up], self.below[up] = True, ()
+            elif not many[up]:
+                self.below[up] += mine
+        self.kept: dict[int, int] = {}
         self.goes = self._goes_back if proper else self._goes_by_merges
         self.pairs: dict[int, bool] = {}
-        self.pieces: dict[bytes, tuple[int, ...]] = {}
-        self.older: dict[bytes, tuple[int, ...]] = {}
         self._forget()
 
     def _add(self, b: bytes, i: int) -> None:
@@ -95,16 +123,18 @@ class Transducer:
                 to = self.child[node << 8 | byte] = len(self.token)
                 self.token.append(-1)
                 self.inner.append(False)
+                self.depth.append(self.depth[node] + 1)
             node = to
         self.token[node] = i
 
     def _forget(self) -> None:
-        self.names: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.step: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self._name((-1, ((0, ()),)))
+        self.names: dict[tuple[int, ...], int] = {}
+        self.states: list[tuple[int, ...]] = []
+        self.step: dict[int, int] = {}
+        self.slots = np.full((SLOTS, 2), -1, np.int64)  # the same transitions, as far as pieces in step have met them
+        self._name((0,))
 
-    def _name(self, state: tuple) -> int:
+    def _name(self, state: tuple[int, ...]) -> int:
         at = self.names.get(state)
         if at is None:
             at = self.names[state] = len(self.states)
@@ -133,81 +163,154 @@ class Transducer:
             else:
                 return True
 
-    def _advance(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """A state is (last token agreed on, ((trie node of a token being read, tokens from agreement to its start), ...))."""
-        agreed, starts = self.states[at]
-        child, pairs, alive, here = self.child, self.pairs, [], None
-        for node, tokens in starts:
-            now = child.get(node << 8 | byte)
+    def _narrow(self, node: int, last: int) -> int:
+        """The start (node, last), without its last token if that goes with all tokens below the node, -1 if with none."""
+        good = [self.goes(last - 1, t) for t in self.below[node]]
+        if len(self.kept) > MOST_PAIRS:
+            self.kept.clear()
+        to = self.kept[node << ID_BITS | last] = -1 if not any(good) else node << ID_BITS | (0 if all(good) else last)
+        return to
+
+    def _advance(self, at: int, byte: int) -> int:
+        """The transition: next state << ID_BITS | token that ends with the byte."""
+        child, token, inner, pairs, below, kept, here, alive = self.child, self.token, self.inner, self.pairs, self.below, self.kept, -1, []
+        for start in self.states[at]:
+            now = child.get(start >> ID_BITS << 8 | byte)
             if now is None:
                 continue
-            t = self.token[now]
-            if here is None and t >= 0:
-                last = tokens[-1] if tokens else agreed
-                good = True
-                if last >= 0:
-                    good = pairs.get(last << 24 | t)
+            last = start & LAST
+            t = token[now]
+            if here < 0 <= t:
+                good = not last
+                if last:
+                    good = pairs.get(last << ID_BITS | t)
                     if good is None:
                         if len(pairs) > MOST_PAIRS:
                             pairs.clear()
-                        good = pairs[last << 24 | t] = self.goes(last, t)
+                        good = pairs[last << ID_BITS | t] = self.goes(last - 1, t)
                 if good:
-                    here = (*tokens, t)
-            if self.inner[now]:
-                alive.append((now, tokens))
-        alive.append((0, here))
-        out = alive[0][1]
-        if out:  # where the first one holds no token, nothing is agreed on
-            others, same, least = [t for _, t in alive[1:]], 0, min([len(t) for _, t in alive])
-            while same < least:
-                x = out[same]
-                for t in others:
-                    if t[same] != x:
-                        break
+                    here = t
+            if inner[now]:
+                if last and below[now]:
+                    start = kept.get(now << ID_BITS | last)
+                    if start is None:
+                        start = self._narrow(now, last)
+                    if start < 0:
+                        continue
+                    alive.append(start)
                 else:
-                    same += 1
-                    continue
-                break
-            out = out[:same]
-            if same:
-                agreed = out[-1]
-                alive = [(n, t[same:]) for n, t in alive]
-                if alive[0][1] and all([t for _, t in alive]):
-                    agreed = -1  # no token will have it as its neighbour, so states needn't differ by it
-            elif all([t for _, t in alive]):
-                agreed = -1
-        to = self.step[at << 8 | byte] = self._name((agreed, tuple(alive))), out
+                    alive.append(now << ID_BITS | last)
+        if here < 0:
+            raise ValueError(f"the vocabulary has no token for byte {byte}")
+        alive.append(here + 1)
+        to = self.step[at << 8 | byte] = self._name(tuple(alive)) << ID_BITS | here
         return to
 
-    def encode(self, piece: bytes) -> tuple[int, ...]:
+    def _steps(self, keys: np.ndarray) -> np.ndarray:
+        """Transitions of many (state << 8 | byte) at once."""
+        slot = (keys.astype(np.uint64) * SPREAD >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+        found = self.slots[slot]
+        other = np.flatnonzero(found[:, 0] != keys)
+        missing = []
+        while len(other):
+            free = found[other, 0] < 0
+            missing.append(other[free])
+            other = other[~free]
+            slot[other] = slot[other] + 1 & SLOTS - 1
+            found[other] = self.slots[slot[other]]
+            other = other[found[other, 0] != keys[other]]
+        if missing and len(lost := np.concatenate(missing)):
+            new, first, back = np.unique(keys[lost], return_index=True, return_inverse=True)
+            made = [self.step.get(k) or self._advance(k >> 8, k & 0xFF) for k in new.tolist()]
+            for k, v, i in zip(new.tolist(), made, slot[lost[first]].tolist(), strict=True):
+                while self.slots[i, 0] >= 0:
+                    i = i + 1 & SLOTS - 1
+                self.slots[i] = k, v
+            found[lost, 1] = np.array(made, np.int64)[back]
+        return found[:, 1]
+
+    def encode_pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces data[start:end] one after another, and how many each has.
+
+        Short pieces are read in step, the k-th byte of all at once; the token that ends with each byte
+        is noted, and once a piece is read its tokens are picked from the last one backwards.
+        """
+        size = end - start
+        count = np.zeros(len(start), np.int64)
+        alone: list[tuple[int, list[int]]] = []
+        singly = size > SHORT_PIECE
+        if self.whole:
+            fits = np.flatnonzero(np.isin(size, [len(b) for b in self.whole]))
+            singly[[i for i, a, b in zip(fits.tolist(), start[fits].tolist(), end[fits].tolist(), strict=True) if data[a:b].tobytes() in self.whole]] = True
+        for i in np.flatnonzero(singly).tolist():
+            alone.append((i, self.encode(data[start[i] : end[i]].tobytes())))
+            count[i] = len(alone[-1][1])
+        order = np.flatnonzero(~singly)
+        order = order[np.argsort(-size[order], kind="stable")]
+        cuts = np.flatnonzero(np.diff(np.cumsum(size[order]) // SLICE_BYTES)) + 1
+        ends, picked = np.empty(len(data), np.int32), []
+        for rows in np.split(order, cuts):
+            if not len(rows):
+                continue
+            self._within_limits()
+            at, n = start[rows], size[rows]
+            state = np.zeros(len(rows), np.int64)
+            for k, m in enumerate(np.searchsorted(-n, -np.arange(1, n[0] + 1), "right").tolist()):
+                here = at[:m] + k
+                to = self._steps(state[:m] << 8 | data[here])
+                state[:m] = to >> ID_BITS
+                ends[here] = to & LAST
+            left, back = at + n, 0
+            while len(rows):
+                t = ends[left - 1]
+                picked.append((rows, back, t))
+                count[rows] += 1
+                left = left - self.sizes[t]
+                more = left > at
+                rows, at, left, back = rows[more], at[more], left[more], back + 1
+        past = np.cumsum(count)
+        ids = np.empty(past[-1] if len(past) else 0, np.uint32)
+        for rows, back, t in picked:
+            ids[past[rows] - 1 - back] = t
+        for i, one in alone:
+            ids[past[i] - count[i] : past[i]] = one
+        return ids, count
+
+    def _within_limits(self) -> None:
+        if len(self.states) > MOST_STATES or len(self.step) > MOST_STEPS:
+            self._forget()
+
+    def encode(self, piece: bytes) -> list[int]:
         """Ids of one piece of a split text."""
-        known = self.pieces.get(piece)
-        if known is not None:
-            return known
         whole = self.ranks.get(piece)
         if whole is not None:
-            return (whole,)
-        known = self.older.pop(piece, None)
-        if known is not None:
-            return self._keep(piece, known)
-        if len(self.states) > MOST_STATES or len(self.step) > MOST_STEPS:
-            self._forget()
-        at, out, step = 0, [], self.step
+            return [whole]
+        self._within_limits()
+        at, out, ends, step = 0, [], [], self.step
         for byte in piece:
-            to = step.get(at << 8 | byte) or self._advance(at, byte)
-            at = to[0]
-            if to[1]:
-                out += to[1]
-        out += self.states[at][1][-1][1]
-        return self._keep(piece, tuple(out))
-
-    def _keep(self, piece: bytes, ids: tuple[int, ...]) -> tuple[int, ...]:
-        """Remember a piece; those that weren't asked for since the last change of generations go."""
-        if len(piece) < 64:
-            if len(self.pieces) >= MOST_PIECES // 2:
-                self.pieces, self.older = {}, self.pieces
-            self.pieces[piece] = ids
-        return ids
+            to = step.get(at << 8 | byte)
+            if to is None:
+                to = self._advance(at, byte)
+            at = to >> ID_BITS
+            ends.append(to & LAST)
+            if len(ends) >= EMIT:
+                out += self._agreed(ends, {len(ends) - self.depth[x >> ID_BITS] for x in self.states[at]})
+        return out + self._agreed(ends, {len(ends)})
+
+    def _agreed(self, ends: list[int], starts: set[int]) -> list[int]:
+        """Tokens up to the last place that the ways to all of `starts` have in common; they are taken off `ends`, the token that ends with each byte."""
+        size = self.size
+        while len(starts) > 1:
+            last = max(starts)
+            starts.remove(last)
+            starts.add(last - size[ends[last - 1]])
+        (at,) = starts
+        cut, out = at, []
+        while at > 0:
+            out.append(ends[at - 1])
+            at -= size[out[-1]]
+        del ends[:cut]
+        return out[::-1]
 
 
 class Utf8Machine:
@@ -343,10 +446,7 @@ class Codec:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         end = np.append(start[1:], len(data))
         first, back = _equal_pieces(data, start, end)
-        raw, one = data.tobytes(), self.transducer.encode
-        ids = [one(raw[a:b]) for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+        flat, size = self.transducer.encode_pieces(data, start[first], end[first])
         at = np.concatenate([[0], np.cumsum(size)])[:-1]
         count = size[back]
         total = np.concatenate([[0], np.cumsum(count)])

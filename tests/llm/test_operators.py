@@ -562,6 +562,33 @@ def test_bpe_matches_the_public_library(spark):
         assert d.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
 
 
+@pytest.mark.parametrize("limits", [{}, {"MOST_STATES": 3, "MOST_STEPS": 5, "MOST_PAIRS": 2}, {"FEW": 0, "SHORT_PIECE": 0, "EMIT": 8}, {"FEW": 2, "SLICE_BYTES": 8}])
+def test_transducer_makes_what_merges_make(monkeypatch, limits):
+    """Random vocabularies, some with tokens that merges don't reach; no limit changes a result."""
+    from featureflow.llm import bpe
+
+    for name, value in limits.items():
+        monkeypatch.setattr(bpe, name, value)
+    rng = random.Random(7)
+    for trial in range(12):
+        tokens = [bytes([x]) for x in b"abc "]
+        while len(tokens) < rng.randrange(5, 60):
+            if (joined := rng.choice(tokens) + rng.choice(tokens)) not in tokens and len(joined) < 12:
+                tokens.append(joined)
+        ranks = {b: i for i, b in enumerate(tokens)}
+        if trial % 2:
+            ranks[b"abcabcabcabcab"] = len(ranks)
+        machine = bpe.Transducer(ranks)
+        pieces = [bytes(rng.choices(b"abc ", k=rng.randrange(1, 40))) for _ in range(200)] + [b"abc" * 100, b"abcabcabcabcab"] + tokens
+        size = np.array([len(x) for x in pieces])
+        end = np.cumsum(size)
+        ids, count = machine.encode_pieces(np.frombuffer(b"".join(pieces), np.uint8), end - size, end)
+        past = np.cumsum(count)
+        for piece, i, j in zip(pieces, (past - count).tolist(), past.tolist(), strict=True):
+            want = [ranks[piece]] if piece in ranks else bpe.merge(ranks, piece)
+            assert ids[i:j].tolist() == machine.encode(piece) == want, (tokens, piece)
+
+
 def test_utf8_machine_agrees_with_the_decoder():
     from featureflow.llm.bpe import Utf8Machine
 
