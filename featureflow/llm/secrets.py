@@ -242,7 +242,7 @@ def redact(documents: DataFrame, mask: str = "[SECRET]", p: Params = Params()) -
     """documents with every span of `scan` in their texts replaced by `mask`; overlapping spans become one. Other texts stay as they are."""
     if clash := {"base", "candidates", "_a", "_r", "_s", "_t"} & set(documents.columns):
         raise ValueError(f"columns {sorted(clash)} are already there")
-    found = spans(documents, p)
-    least = limit(found.select("candidates"), p)
+    found = materialise(spans(documents, p), "found")  # with the texts: reading them again is cheaper than finding again
+    least = limit(found, p)
     clean = _replaced(F.col("text"), F.col("_s"), lambda apart, _: F.when(apart, mask).otherwise(""))
     return found.withColumn("_s", _all(least)).withColumn("text", F.when(F.col("text").isNotNull(), clean)).select(*documents.columns)
