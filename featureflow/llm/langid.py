@@ -207,12 +207,13 @@ def train(documents: DataFrame, learn: Column, p: Params = Params()) -> Model:
     order = Window.partitionBy("lang").orderBy("h", "doc_id", "digest")
     chosen = sets.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= p.per_language)
     # per_language rows of each of at most `languages` languages, each as large as its gram set
-    return fit(_ordered(chosen.select("lang", "grams", "counts").collect()), p)
+    return fit(_ordered(chosen.select("lang", "grams", "counts").toArrow()), p)
 
 
-def _ordered(rows: list) -> list[tuple[str, np.ndarray, np.ndarray]]:
+def _ordered(rows: pa.Table) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """Rows by a hash of their grams, so that neither tasks nor lengths decide which become landmarks."""
-    out = [(r.lang, np.array(r.grams, np.int32), np.array(r.counts, np.int32)) for r in rows if r.grams]
+    lists = [[x.values.to_numpy() for x in rows.column(name)] for name in ("grams", "counts")]
+    out = [(lang, g, n) for lang, g, n in zip(rows.column("lang").to_pylist(), *lists, strict=True) if len(g)]
     return sorted(out, key=lambda r: (hashlib.sha256(r[1].tobytes()).digest(), r[0]))
 
 
