@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from featureflow.llm.common import chunks, in_worker, utf8, worker_tables
 from featureflow.llm.wordvec import SHORT, lanes, run_hashes
 
-#: Most transducer states, transitions and judged pairs of tokens in a worker: some 100 MB. Those of one slice of pieces may come on top.
+#: Most transducer states, transitions and judged pairs of tokens in a worker. Those of one slice of pieces may come on top.
 MOST_STATES, MOST_STEPS, MOST_PAIRS = 110_000, 220_000, 150_000
 #: Longest piece that is read in step with others, and bytes of such pieces between looks at the limits.
 SHORT_PIECE, SLICE_BYTES = 64, 1 << 17
