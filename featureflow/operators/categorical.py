@@ -19,13 +19,13 @@ ONE_TASK, ROW_BYTES = 100_000, 40
 
 
 def numbered(distinct: DataFrame, n: int, one_task: int = ONE_TASK) -> DataFrame:
-    """distinct (value), n rows without null -> (value, pos): places in the values' order.
+    """distinct (value, ...), n rows without null -> (value, ..., pos): places in the values' order.
 
     Many values are ranked by range partitions: each partition's rows are numbered on their own, and
     start where the partitions before it end.
     """
     if n <= one_task:
-        return written(distinct.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("int").alias("pos")), "vocabulary")
+        return written(distinct.select("*", (F.row_number().over(Window.orderBy("value")) - 1).cast("int").alias("pos")), "vocabulary")
     parts = written(distinct.repartitionByRange("value").withColumn("part", F.spark_partition_id()), "parts")
     starts, at = {}, 0
     for r in parts.groupBy("part").count().orderBy("part").collect():  # one row a partition
@@ -33,7 +33,7 @@ def numbered(distinct: DataFrame, n: int, one_task: int = ONE_TASK) -> DataFrame
         at += r["count"]
     start = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])[F.col("part")]
     place = F.row_number().over(Window.partitionBy("part").orderBy("value")) - 1 + start
-    out = written(parts.select("value", place.cast("int").alias("pos")), "vocabulary")
+    out = written(parts.select(*distinct.columns, place.cast("int").alias("pos")), "vocabulary")
     drop(parts)
     return out
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from featureflow.operators.base import Encoder, NotFittedError
 from featureflow.operators.categorical import OneHotEncoder
 from featureflow.operators.stateless import Passthrough
+from featureflow.operators.text import steps
 from featureflow.plans.planner import encode_chains, fit_chains, named
 
 
@@ -30,7 +31,7 @@ class Pipeline(Encoder):
         return self
 
     def encode(self, df: DataFrame, x: Column) -> tuple[DataFrame, Column]:
-        for e in flat(self):
+        for e in steps(flat(self)):
             df, x = e.encode(df, x)
         return df, x
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featureflow.operators.base import Encoder
+from featureflow.operators.text import steps
 
 Chain = tuple[str | int, list[Encoder]]
 
@@ -22,6 +23,7 @@ def named(df: DataFrame, column: str | int) -> str:
 
 def fit_chains(df: DataFrame, chains: list[Chain]) -> None:
     """Fit each encoder on what the ones before it in its chain make of the column."""
+    chains = [(c, steps(e)) for c, e in chains]
     at: list[tuple[DataFrame, Column]] = [(df, F.col(named(df, c))) for c, _ in chains]
     for depth in range(max(len(e) for _, e in chains)):
         live = [i for i, (_, e) in enumerate(chains) if depth < len(e)]
@@ -62,7 +64,7 @@ def encode_chains(df: DataFrame, chains: list[Chain]) -> tuple[DataFrame, list[C
     out = []
     for column, encoders in chains:
         x = F.col(named(df, column))
-        for e in encoders:
+        for e in steps(encoders):
             df, x = e.encode(df, x)
         out.append(x)
     return df, out

@@ -39,8 +39,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def six(c: str | Column) -> Column:
-    """Rounded to six decimals: last bits depend on the order of summing."""
-    return F.round(c, 6) + 0.0
+    """Rounded to six decimals as SQL's round does it, on the number times 10^6, halves away from zero: last bits depend on the order of summing."""
+    millionths = (F.col(c) if isinstance(c, str) else c) * 1e6
+    near = F.rint(millionths)
+    return F.when(F.abs(millionths - near) == 0.5, millionths + F.signum(millionths) * 0.5).otherwise(near) / 1e6 + 0.0
 
 
 def long_form(df: DataFrame, *keys: str, vector: str = "v") -> DataFrame:

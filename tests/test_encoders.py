@@ -3,7 +3,10 @@
 import collections
 import math
 import random
+import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,6 +275,78 @@ def test_sparse_vectors_are_the_dense_ones(spark, monkeypatch):
             assert sorted(opened, key=str) == a
 
 
+WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+
+
+def test_sparse_tfidf_against_brute_force(spark, monkeypatch):
+    """Common, rare, long and unknown tokens, all white space, letters that share its bytes; rows are written once at most."""
+    from featureflow.functions import storage, vectors
+    from featureflow.operators import text
+
+    near = "\u00a1\u0084\u1681\u200b\u2027\u2030\u2060\u3001\u180e"
+    texts = ["a b a c", None, "", " \t\n", "b", "b", "".join(chr(w) + t for w, t in zip(WHITE, "bcdefghijklmnopqrstuvwxyzé", strict=False)), "x" * 200 + " a " + "x" * 200, f"{near} a{near}a", "zwölf 語 語\u3000語 a"]
+    df = spark.createDataFrame([(i % 9, t) for i, t in enumerate(texts)], "id long, t string").repartition(3)
+    more = df.unionByName(spark.createDataFrame([(50, "a unknown b")], "id long, t string"))
+    split = lambda t: [w for w in re.split("[" + "".join(map(chr, WHITE)) + "]+", t or "") if w]
+    known = sorted({w for t in texts for w in split(t)}, key=lambda w: w.encode())
+    weight = {w: math.log(len(texts) / (len(texts) - sum(w in split(t) for t in texts))) for w in known}
+    want = lambda binary: sorted((i, [(known.index(w), round((1 if binary else split(t).count(w)) * weight[w], 12)) for w in known if w in split(t)]) for i, t in [*((i % 9, t) for i, t in enumerate(texts)), (50, "a unknown b")])
+    names = []
+
+    def noted(table, name):
+        names.append(name)
+        return storage.written(table, name)
+
+    for module in (text, vectors):
+        monkeypatch.setattr(module, "written", noted)
+    monkeypatch.setattr(text, "DENSE", 2)
+    for binary, head in ((False, 500_000), (False, 3), (True, 1), (False, 0)):
+        names.clear()
+        monkeypatch.setattr(text, "HEAD", head, raising=False)
+        out = Pipeline([CountVectorizer(binary), TfidfTransformer()]).fit(df, "t").transform(more, "t", "v").collect()
+        assert sorted((r.id, [(p, round(x, 12)) for p, x in zip(r.v.indices, r.v["values"], strict=True)]) for r in out) == want(binary)
+        assert names.count("rows") <= 1
+
+
+def test_slices_of_texts(monkeypatch):
+    """Batches taken in slices of a row, and parts of larger arrays, give what they give at once."""
+    from featureflow.functions import counting
+
+    texts = pa.array(["skipped", "a b a c", None, "", "zz a", "\u3000é é\u2003", "a " * 40])[1:]
+    run = lambda: [counting.packed(pa.array(["a", "é"]))(texts), counting.packed(pa.array([], pa.string()))(texts[:0])]
+
+    def fill(parts):
+        rest = pa.array([None, [{"to": 1, "n": 2, "w": 0.5}], [], None, [{"to": 9, "n": 1, "w": 2.0}, {"to": 1, "n": 3, "w": 1.0}], None])
+        rest = rest.cast(pa.list_(pa.struct([("to", pa.int32()), ("n", pa.int32()), ("w", pa.float64())])))
+        return counting.filled(np.array([0, 5]), np.array([1.0, 3.0]), False)(parts.field("at"), parts.field("n"), rest).to_pylist()
+
+    def have():
+        found = collections.Counter()
+        for b in counting.frequencies(iter([pa.RecordBatch.from_arrays([texts], ["value"])])):
+            for r in b.to_pylist():
+                found[r["value"]] += r["have"]
+        return found
+
+    whole, filled, all_have = run(), fill(run()[0]), have()
+    assert all_have == {"a": 3, "b": 1, "c": 1, "zz": 1, "é": 1}
+    assert [r["rest"] for r in whole[0].to_pylist()] == [[{"k": "b", "n": 1}, {"k": "c", "n": 1}], [], [], [{"k": "zz", "n": 1}], [], []]
+    assert filled == [{"indices": i, "values": v} for i, v in [([0], [2]), ([1], [1]), ([], []), ([0], [1]), ([1, 5, 9], [3, 6, 2]), ([0], [40])]]
+    monkeypatch.setattr(counting, "SLICE_BYTES", 1)
+    monkeypatch.setattr(counting, "SLICE_ENTRIES", 1)
+    assert [p.to_pylist() for p in run()] == [p.to_pylist() for p in whole] and fill(run()[0]) == filled and have() == all_have
+
+
+def test_counts_after_which_tfidf_was_fitted_elsewhere(spark, monkeypatch):
+    from featureflow.operators import text
+
+    monkeypatch.setattr(text, "DENSE", 2)
+    df = spark.createDataFrame([("a b c",), ("a",)], "t string")
+    other = spark.createDataFrame([("a b c",), ("b c",), ("c",)], "t string")
+    p = Pipeline([CountVectorizer(), TfidfTransformer()]).fit(df, "t")
+    p.encoders[0].fit(other, "t")  # weights stay those of df
+    assert sorted(r.v["values"] for r in p.transform(df, "t", "v").collect()) == [[0], [0, math.log(2), math.log(2)]]
+
+
 def test_many_values_are_numbered_by_parts(spark):
     from featureflow.operators.categorical import numbered
 
