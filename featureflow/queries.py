@@ -271,7 +271,10 @@ _NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 def scale_all_numeric(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", *_NUMBERS)
     m = ready.scale_all(df.select(*_NUMBERS)).fit(df)
-    return m.columns(df, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", *[six(f"e{i}").alias(f"z{i}") for i in range(len(_NUMBERS))])
+    out = m.columns(df, ["l_orderkey", "l_linenumber", *_NUMBERS])
+    # Where the variance is 0, the SQL has NaN for null too, where the encoder leaves null.
+    z = [F.when(F.col(c).isNull(), F.lit(float("nan"))).otherwise(six(f"e{i}")) if scaler.meta[1] == 0 else six(f"e{i}") for i, (c, (scaler,)) in enumerate(m.chains)]
+    return out.select("l_orderkey", "l_linenumber", *[x.alias(f"z{i}") for i, x in enumerate(z)])
 
 
 @query(f"SELECT c_custkey, list_transform(range(w), lambda i: CASE WHEN i = p THEN 1.0 ELSE 0.0 END)::DOUBLE[] || [c_acctbal]::DOUBLE[] AS v FROM customer, (SELECT v AS val, row_number() OVER (ORDER BY v) - 1 AS p FROM (SELECT DISTINCT c_mktsegment AS v FROM customer)), (SELECT {_width_sql('SELECT count(DISTINCT c_mktsegment) FROM customer')} AS w) WHERE val = c_mktsegment")

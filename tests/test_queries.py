@@ -1,5 +1,6 @@
 """Every query against its SQL on the smallest tables."""
 
+import math
 import os
 
 import duckdb
@@ -41,6 +42,31 @@ def test_query_equals_its_sql(spark, duck, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([c[0] for c in want.description], want.fetchall())
 
 
+def test_scaling_of_nulls_equals_its_sql(spark, tmp_path):
+    """Nulls of columns whose variance is rounded to 0, and of others; a column without values."""
+    con = duckdb.connect()
+    some = "CASE WHEN l_partkey % {} <> 0 THEN {} END AS {}"
+    for i, replaced in enumerate([[some.format(k, c, c) for k, c in ((3, "l_quantity"), (5, "l_extendedprice"), (7, "l_discount"), (4, "l_tax"))], ["NULL::DOUBLE AS l_tax", "3.3::DOUBLE AS l_quantity"]]):
+        at = tmp_path / str(i)
+        at.mkdir()
+        con.execute(f"COPY (SELECT * REPLACE ({', '.join(replaced)}) FROM '{SF}/lineitem.parquet') TO '{at}/lineitem.parquet'")
+        con.execute(f"CREATE OR REPLACE VIEW lineitem AS SELECT * FROM '{at}/lineitem.parquet'")
+        df = __spark_entry__.queries()["scale_all_numeric"](spark, str(at))
+        want = con.execute(__spark_entry__.oracle_sql()["scale_all_numeric"])
+        assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([c[0] for c in want.description], want.fetchall())
+
+
+def test_six_rounds_as_sql(spark, duck):
+    from featureflow.queries import six
+
+    ties = [(k + 0.5) / 1e6 * sign for k in (0, 1, 2, 7, 24, 1562, 98320, 999999, 123456789) for sign in (1, -1)]
+    xs = [math.nextafter(x, to) for x in ties for to in (x, 0.0, 2 * x)] + [0.0, -0.0, -1e-9, 3e9 + 1e-6, -7.0, math.inf, -math.inf, math.nan, None]
+    df = spark.createDataFrame(list(enumerate(xs)), "i long, x double")
+    found = [r.y for r in df.select("i", six("x").alias("y")).orderBy("i").collect()]
+    want = [duck.execute("SELECT round(?::DOUBLE, 6) + 0.0", [x]).fetchall()[0][0] for x in xs]
+    assert [repr(x) for x in found] == [repr(x) for x in want]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
